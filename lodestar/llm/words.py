@@ -24,8 +24,9 @@ BLOCK = 1 << 20
 class Words:
     """Words of byte rows as 64-bit hashes of their lower-cased bytes; rows of any length, a block at a time."""
 
-    def __init__(self, breaks: np.ndarray) -> None:
-        self.breaks, self.rolling = breaks, Rolling(17)
+    def __init__(self, breaks: np.ndarray, stem: int = 0) -> None:
+        """breaks: by byte, if it separates words; stem: if not 0, words are cut to that many bytes."""
+        self.breaks, self.stem, self.rolling = breaks, stem, Rolling(17)
 
     def row(self, data: np.ndarray) -> np.ndarray:
         """The word hashes of one row, in order."""
@@ -63,7 +64,8 @@ class Words:
         inner = bounds[(bounds > 0) & (bounds < len(data))]
         first[inner] = word[inner]
         last[inner - 1] = word[inner - 1]
-        return np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return starts, np.minimum(ends, starts + self.stem) if self.stem else ends
 
     def _hash(self, data: np.ndarray) -> np.ndarray:
         return self.rows(data, np.array([0, len(data)]))[0] if len(data) <= BLOCK else self._whole(data)
