@@ -27,8 +27,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestar.llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op6_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
