@@ -27,6 +27,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,8 +48,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op6_sentencepiece)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodestar.llm import decontam, line_dedup
+
+    return {"op4_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
