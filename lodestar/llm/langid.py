@@ -100,7 +100,7 @@ def fit(documents: DataFrame, sample_rows: int = 1500, epochs: int = 4, alpha: f
     for lang in langs:
         part = ids.where(F.col("lang") == lang).orderBy("o", "doc_id").limit(sample_rows)
         picked = part if picked is None else picked.unionByName(part)
-    rows = learn.join(F.broadcast(picked.select("doc_id", "o").distinct()), "doc_id").select("o", "lang", "text").coalesce(1)  # sample_rows a language at most
+    rows = learn.join(F.broadcast(picked.select("doc_id", "o").distinct()), "doc_id").select("o", "lang", "text").repartition(1)  # sample_rows a language at most
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []

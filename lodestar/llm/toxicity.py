@@ -72,7 +72,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, epochs
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id"))
     picked = [known.where(F.col("y") == y).orderBy("o", "doc_id").limit(sample_rows // 2) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # sample_rows rows at most
-    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("o", "y", "text").coalesce(1)
+    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("o", "y", "text").repartition(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen, found = Grams(), set(), []
