@@ -47,11 +47,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.flac import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece, op8_flac, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodestar.llm import decontam, line_dedup
+    from lodestar.llm import decontam, line_dedup, warc
 
-    return {"op4_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+    return {"op4_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op10_warc": warc.ORACLE}
