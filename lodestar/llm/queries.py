@@ -53,6 +53,12 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_tk")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.warc import read_archives, write_archives
 
@@ -60,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece, op8_flac, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece, op8_flac, op9_minhash_near_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
