@@ -47,6 +47,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.flac import media_features
 
@@ -66,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece, op8_flac, op9_minhash_near_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_suffix_array_dedup, op8_flac, op9_minhash_near_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
