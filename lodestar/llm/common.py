@@ -77,6 +77,18 @@ def text_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_tk")]
 
 
+#: At most so many document keys are sent to each executor to pick documents by (some tens of MB); beyond, both sides are shuffled.
+SENT = 500_000
+
+
+def among(documents: DataFrame, keys: DataFrame, anti: bool = False) -> DataFrame:
+    """The documents (with doc_id and _tk) whose key is among keys (d, t), or the others."""
+    if keys.count() <= SENT:
+        keys = F.broadcast(keys)
+    same = documents["doc_id"].eqNullSafe(keys["d"]) & (documents["_tk"] == keys["t"])
+    return documents.join(keys, same, "left_anti" if anti else "left_semi")
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 

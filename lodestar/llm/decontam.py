@@ -100,7 +100,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, near
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20) -> DataFrame:
-    """One row for each row of documents; contaminated if at least one in share words is hit."""
+    """One row for each row of documents, with _tk (hash of the text); contaminated if at least one in share words is hit."""
     documents = documents.select("doc_id", "text")
     found = stored(matches(documents, benchmark.select("item_id", "text"), width), "matches")
     key = ["doc_id", "_tk"]
@@ -116,6 +116,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
+        "_tk",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),

@@ -250,10 +250,10 @@ def codec(model: str) -> Codec:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_repaired long"
 
 
-def encode_documents(documents: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
-    """One row for each row of documents: the digests, and with with_ids also ids array<int> and decoded text."""
+def encode_documents(documents: DataFrame, model: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """One row for each row of documents: the digests, with with_ids also ids array<int>, with with_text the decoded text."""
     tuned(documents.sparkSession)
-    schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
+    schema = SCHEMA + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -274,8 +274,11 @@ def encode_documents(documents: DataFrame, model: str, with_ids: bool = False) -
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_repaired"]
                 if with_ids:
-                    cols += [pa.array([list(map(int, x.split(","))) if x else [] for x, _ in got], pa.list_(pa.int32())), pa.array([y for _, y in got], pa.string())]
-                    names += ["ids", "decoded"]
+                    cols.append(pa.array([np.fromstring(x, np.int32, sep=",") for x, _ in got], pa.list_(pa.int32())))
+                    names.append("ids")
+                if with_text:
+                    cols.append(pa.array([y for _, y in got], pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return documents.select("doc_id", "text").mapInArrow(run, schema)

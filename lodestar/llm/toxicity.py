@@ -112,5 +112,22 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
     return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
+def reject(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.3) -> DataFrame:
+    """The rows of documents that score below threshold, with all their columns."""
+    tuned(documents.sparkSession)
+    at, w = model
+    column = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, dense = Grams(), np.zeros(1 << BITS)
+        dense[at] = w
+        bias = float(np.log(PRIOR / (1 - PRIOR))) if not len(at) else 0.0
+        for batch in batches:
+            data, bounds = utf8(batch.column(column))
+            yield batch.filter(pa.array([bool(sigmoid(bias + logit(grams(data[a:b]), dense)) < threshold) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **parameters: float) -> DataFrame:
     return score(documents, fit(documents, labels, **parameters), threshold)
