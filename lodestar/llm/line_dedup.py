@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import scratch, text_key, texts, tuned
+from lodestar.llm.common import scratch, stored, text_key, texts, tuned
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANKS = " \t\n\x0b\f\r"
@@ -130,7 +130,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     store = LineRuns(spark, fanout=max(2, batches // 2))
     for b in range(batches):
         store.add(lines.where(F.col("batch") == b))
-    drop = lines.join(store.common(min_docs), HASH).where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    common = stored(store.common(min_docs), "common-lines")  # on its own, so that a join with a hot line can be split
+    drop = lines.join(common, HASH).where(~F.col("doc_id").eqNullSafe(F.col("top")))
     drop = drop.groupBy(F.col("doc_id").alias("d"), F.col("_tk").alias("t")).agg(F.collect_set(F.struct(*HASH)).alias("s"))
     drop = drop.select("d", "t", F.transform("s", lambda x: x["h1"]).alias("s1"), F.transform("s", lambda x: x["h2"]).alias("s2"))
     keep = keep or []
