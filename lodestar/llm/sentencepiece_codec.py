@@ -4,7 +4,7 @@ A text becomes its characters, with a dummy blank in front and blanks as U+2581.
 a piece is worked off in the order of the piece's score, leftmost first at equal scores; what is left that isn't a piece becomes byte
 pieces. No piece of a vocabulary of this kind holds U+2581 behind another character (checked on loading), so no merge crosses
 the front of a run of blanks, and a text can be encoded in chunks that start there. Chunks repeat, so each distinct chunk is
-encoded once for each task (within CACHE entries): short ones together, one merge of each chunk a round over NumPy arrays; long ones by
+encoded once for each Python worker (a cache holds CACHE of them; the older half goes when it is full): short ones together, one merge of each chunk a round over NumPy arrays; long ones by
 a heap.
 
 Each new chunk is also encoded and decoded by the sentencepiece library, an Arrow batch's chunks at a time; where the two differ,
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,9 +32,11 @@ from lodestar.llm.common import texts, tuned
 
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
-CACHE = 300_000
+CACHE = 800_000
 #: Chunks of more symbols go through the heap.
 SHORT = 48
+#: Chunks that are learnt together.
+AT_ONCE = 50_000
 NONE = np.int64(1) << 40
 
 
@@ -71,6 +74,12 @@ class Codec:
                     joined.append(i)
         at = np.argsort(np.array(keys, np.int64), kind="stable") if keys else np.zeros(0, int)
         self.keys, self.ranks, self.joined = (np.array(x, np.int64)[at] if keys else np.zeros(0, np.int64) for x in (keys, ranks, joined))
+        self.size = size
+        self.text = [None if sp.is_byte(i) else x.replace(BLANK, " ") for i, x in enumerate(self.pieces)]
+        self.digits = [str(i) for i in range(size)]
+        self.of_char = np.full(0x110000, -1, np.int64)
+        self.of_char[ord(BLANK)] = self._symbol(BLANK)
+        #: (ids joined by commas, decoded text) by chunk without the blank in front
         self.cache: dict[str, tuple[str, str]] = {}
         self.repaired = 0
 
@@ -114,15 +123,16 @@ class Codec:
                 offer(behind[i])
         return [x for x in part if x]
 
-    def lockstep(self, chunks: list[str]) -> list[list[int]]:
+    def lockstep(self, chunks: list[str]) -> Iterator[list[int]]:
         """The merges of many short chunks, the best pair of each in every round; symbols of each chunk."""
-        sym = np.array([self._symbol(c) for x in chunks for c in x], np.int64)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym = self.of_char[points]
+        if (sym < 0).any():
+            for c in np.unique(points[sym < 0]).tolist():
+                self.of_char[c] = self._symbol(chr(c))
+            sym = self.of_char[points]
         own = np.repeat(np.arange(len(chunks)), [len(x) for x in chunks])
-        out: list[list[int]] = [[] for _ in chunks]
-
-        def done(which: np.ndarray) -> None:
-            for c, s in zip(own[which].tolist(), sym[which].tolist(), strict=True):
-                out[c].append(s)
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
 
         def pairs() -> tuple[np.ndarray, np.ndarray]:
             rank, join = np.full(len(sym), NONE), np.full(len(sym), -1, np.int64)
@@ -139,7 +149,7 @@ class Codec:
             live = best < NONE * 64
             keep = np.repeat(live, sizes)
             if not live.all():
-                done(~keep)
+                ended.append((own[~keep], sym[~keep]))  # a chunk's symbols end together
             at = starts[live] + best[live] % 64
             sym[at] = join[at]
             keep[at + 1] = False  # the right half of each merge
@@ -152,90 +162,84 @@ class Codec:
                 rank[i] = NONE
                 same = near[own[near] == own[near + 1]]
                 rank[same], join[same] = self._pairs(sym[same], sym[same + 1])
-        return out
-
-    def finish(self, names: list[str]) -> list[int]:
-        ids: list[int] = []
-        for name in names:
-            if (i := self.ids.get(name)) is not None:
-                ids.append(i)
-            else:
-                ids.extend(self.bytes[b] for b in name.encode())
-        return ids
+        own, sym = (np.concatenate([x[i] for x in ended]) if ended else np.zeros(0, np.int64) for i in (0, 1))
+        sym = sym[np.argsort(own, kind="stable")].tolist()
+        at = 0
+        for n in np.bincount(own, minlength=len(chunks)).tolist():
+            yield sym[at : at + n]
+            at += n
+
+    def finish(self, symbols: list[int]) -> list[int]:
+        """Ids of symbols: those that aren't pieces become bytes."""
+        if not symbols or max(symbols) < self.size:
+            return symbols
+        return [i for s in symbols for i in ([s] if s < self.size else (self.bytes[b] for b in self.names[s].encode()))]
 
     def unjoin(self, ids: list[int]) -> str:
         """The text of ids, with the blank in front as it is; runs of byte pieces as UTF-8."""
+        parts = [self.text[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         out, run = [], bytearray()
-        for i in ids:
-            if self.library.is_byte(i):
+        for i, part in zip(ids, parts, strict=True):
+            if part is None:
                 run.append(int(self.pieces[i][3:5], 16))
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run = bytearray()
-            out.append(self.pieces[i])
+            out.append(part)
         out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks, with U+2581 in front, and checks them against the library."""
-        if len(self.cache) + len(chunks) > CACHE:
-            self.cache.clear()
-        short = [x for x in chunks if len(x) <= SHORT]
-        long = [x for x in chunks if len(x) > SHORT]
-        found = [(x, self.finish([self.names[s] for s in got])) for x, got in zip(short, self.lockstep(short), strict=True)] if short else []
-        found += [(x, self.finish(self.agenda(x))) for x in long]
-        plain = [x[1:].replace(BLANK, " ") for x, _ in found]
-        theirs = self.library.encode(plain, num_threads=1)
+        return "".join(out)
+
+    def learn(self, keys: list[str]) -> None:
+        """Encodes new chunks, each given without the blank in front, and checks them against the library."""
+        if len(self.cache) + len(keys) > CACHE:
+            for old in list(itertools.islice(self.cache, len(self.cache) // 2)):
+                del self.cache[old]
+        short = [x for x in keys if len(x) < SHORT]
+        long = [x for x in keys if len(x) >= SHORT]
+        found = [self.finish(x) for x in self.lockstep([BLANK + x for x in short])] if short else []
+        found += [self.finish([self._symbol(c) for c in self.agenda(BLANK + x)]) for x in long]
+        theirs = self.library.encode([x.replace(BLANK, " ") for x in short + long], num_threads=1)
         decoded = self.library.decode(theirs, num_threads=1)
-        for (x, ids), ref, text in zip(found, theirs, decoded, strict=True):
+        for key, ids, ref, text in zip(short + long, found, theirs, decoded, strict=True):
             mine = self.unjoin(ids)
-            if x != BLANK and (ids != ref or mine[1:] != text):  # the library encodes a lone blank in front as nothing
+            if key and (ids != ref or mine[1:] != text):  # the library encodes a lone blank in front as nothing
                 self.repaired += 1
                 ids, mine = ref, " " + text
-            self.cache[x] = (",".join(map(str, ids)), mine)
+            self.cache[key] = (",".join([self.digits[i] for i in ids]), mine)
 
     def split(self, text: str) -> list[str]:
+        """Chunks, each without the blank in front."""
         if not text:
             return []
         if "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
-            return [BLANK + x for x in text.split(" ")]
-        return CHUNK.findall(BLANK + text.replace(" ", BLANK))
+            return text.split(" ")
+        return [x[1:] for x in CHUNK.findall(BLANK + text.replace(" ", BLANK))]
 
     def encode_batch(self, rows: list[str]) -> list[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each row."""
         if not self.covered:
             ids = self.library.encode(rows, num_threads=1)
             return list(zip((",".join(map(str, x)) for x in ids), self.library.decode(ids, num_threads=1), strict=True))
-        out = []
-        for row in rows:
-            chunks = self.split(row)
+        out, split = [], [self.split(row) for row in rows]
+        new = list(dict.fromkeys(x for row in split for x in row if x not in self.cache))
+        if 0 < len(new) <= AT_ONCE:
+            self.learn(new)
+        for chunks in split:
             got = [self.cache.get(x) for x in chunks]
-            if None in got:
-                # a long row's new chunks are learnt a part at a time, so that the cache stays bounded
+            if None in got:  # many new chunks, or some that had to go: a part at a time, so that the cache stays bounded
                 got = []
-                for at in range(0, len(chunks), 50_000):
-                    part = chunks[at : at + 50_000]
-                    new = [x for x in dict.fromkeys(part) if x not in self.cache]
-                    if new:
-                        keep = {x: self.cache[x] for x in part if x in self.cache}
+                for at in range(0, len(chunks), AT_ONCE):
+                    part = chunks[at : at + AT_ONCE]
+                    known = {x: self.cache[x] for x in part if x in self.cache}
+                    if new := [x for x in dict.fromkeys(part) if x not in known]:
                         self.learn(new)
-                        self.cache |= keep
-                    got += [self.cache[x] for x in part]
+                    got += [known.get(x) or self.cache[x] for x in part]
             out.append((",".join([x[0] for x in got]), "".join([x[1] for x in got])[1:]))
         return out
 
-    def prepare(self, rows: list[str]) -> None:
-        """Learns the new chunks of short rows together."""
-        new: dict[str, None] = {}
-        for row in rows:
-            if len(row) < 1_000_000:
-                new.update((x, None) for x in self.split(row) if x not in self.cache)
-            if len(new) > 50_000:
-                break
-        if new:
-            self.learn(list(new))
-
 
 _codecs: dict[str, Codec] = {}
 
@@ -262,8 +266,6 @@ def encode_documents(documents: DataFrame, model: str, with_ids: bool = False, w
                 part = batch.slice(at, 200)
                 rows = texts(part.column(1))
                 before = c.repaired
-                if c.covered:
-                    c.prepare(rows)
                 got = c.encode_batch(rows)
                 cols = [
                     part.column(0).cast(pa.int64()),
