@@ -371,7 +371,7 @@ def _decode_frames(data: np.ndarray, starts: list[int]) -> tuple[list[np.ndarray
             at[f] += 8
         c, shift = np.zeros((deepest, count), np.int64), np.zeros(count, np.int64)
         for o, v in FIXED.items():
-            for j, w in enumerate(v):
+            for j, w in enumerate(v[:deepest]):
                 c[j, fixed & (order == o)] = w
         f = np.flatnonzero(linear)
         precision = read.field(at[f], 4) + 1
