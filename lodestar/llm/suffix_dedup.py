@@ -10,8 +10,9 @@ judged on the input, and overlaps count.
    anchors at equal offsets. Only anchors (about 1.5 % of all places) are sorted into buckets; the windows of an anchor are a run.
    A bucket with one anchor holds no repeat, and is done.
 3. An anchor's whole run is named by the identifiers of its first and last window. Runs with equal names are repeats as a whole.
-   One representative of each name goes on, where its bucket still holds a run that is alone.
-4. The windows of those representatives are sorted into buckets by depth LENGTH; those of two or more members are repeats.
+   One representative of each name goes on, where its bucket still holds a name of one member.
+4. Representatives are cut into cells of STEP windows, whose buckets are named by the bytes that a cell's windows share, and treated
+   alike; then into single windows.
 
 A place is compared within its anchor's bucket alone, so names of 128 bits decide. All tables are dealt by hash, counts are combined before
 they are shuffled, and joins by bucket can be split where one is hot; per document only its own runs are gathered.
@@ -35,6 +36,8 @@ from lodestar.llm.common import Rolling, mix, stored, tuned, utf8
 
 LENGTH, GRAM = 200, 64
 BLOCK = 1 << 19
+#: Windows of a cell, between whole runs and single windows.
+STEP = 10
 #: Low bits of a gram's sort key that hold its place in the block, for leftmost ties.
 PLACE = np.uint64(20)
 A, B, C = np.uint64(0xB5AD4ECEDA1CE2A9), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
@@ -118,8 +121,10 @@ def anchors(documents: DataFrame, length: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, _tk long, h long, name long, first long, pre short, more short")
 
 
-def windows(documents: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """(doc_id, _tk, h, w, p, weight): the windows of representatives; w names a window and its place to the anchor."""
+def cells(documents: DataFrame, reps: DataFrame, length: int, step: int) -> DataFrame:
+    """(doc_id, _tk, h, b, name, first, pre, more, weight): the runs of representatives in cells of step windows, by their place to the anchor.
+
+    b names the bytes that all windows of a cell share (so cells that hold equal windows have equal b), name the whole cell."""
     per_doc = reps.groupBy(F.col("doc_id").alias("d"), F.col("_tk").alias("t")).agg(F.collect_list(F.struct("h", "first", "pre", "more", "weight")).alias("r"))
     per_doc = per_doc.select("d", "t", *(F.col(f"r.{c}").alias(c) for c in ("h", "first", "pre", "more", "weight")))
     rows = _with(documents, per_doc.select("d", "t")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_tk") == F.col("t")))
@@ -135,20 +140,26 @@ def windows(documents: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                 h, first, pre, more, weight = (x[order] for x in (h, first, pre, more, weight))
                 at = 0
                 while at < len(first):
-                    low = int(first[at])
-                    end = int(np.searchsorted(first, low + BLOCK, "left"))
-                    _, wide = buckets.names(text[low : low + 2 * BLOCK + length - 1])
-                    count = more[at:end] + 1
-                    start = np.cumsum(count) - count
-                    step = np.arange(int(count.sum())) - np.repeat(start, count)
-                    p = np.repeat(first[at:end], count) + step
-                    place = (np.repeat(pre[at:end], count) - step).astype(np.uint64)
-                    w = mix(wide[p - low] * A + place * C)
-                    cols = [np.repeat(h[at:end], count), w.view(np.int64), p, np.repeat(weight[at:end], count).astype(np.int16)]
-                    yield _batch(cols, np.full(len(p), i), batch, ["h", "w", "p", "weight"])
+                    low, end = int(first[at]), int(np.searchsorted(first, first[at] + BLOCK, "left"))
+                    part = text[low : low + 2 * BLOCK + length - 1]
+                    _, wide = buckets.names(part)
+                    prefix = buckets.rolling.prefix(part)
+                    # cells of a run: places pre, pre - 1, ... pre - more to the anchor, cut at multiples of step
+                    top, bottom = pre[at:end] // step, (pre[at:end] - more[at:end]) // step
+                    count = top - bottom + 1
+                    own = np.repeat(np.arange(at, end), count)
+                    c = np.repeat(top, count) - (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+                    most, least = np.minimum(c * step + step - 1, pre[own]), np.maximum(c * step, pre[own] - more[own])
+                    anchor = first[own] + pre[own] - low
+                    f, last = anchor - most, anchor - least
+                    core = anchor - c * step
+                    b = mix(buckets.rolling.spans(prefix, core, core + length - step + 1) + c.astype(np.uint64) * C)
+                    name = mix(wide[f] * A + wide[last] * B + most.astype(np.uint64) * C + (last - f).astype(np.uint64))
+                    cols = [h[own], b.view(np.int64), name.view(np.int64), f + low, most.astype(np.int16), (last - f).astype(np.int16), weight[own].astype(np.int16)]
+                    yield _batch(cols, np.full(len(f), i), batch, ["h", "b", "name", "first", "pre", "more", "weight"])
                     at = end
 
-    return rows.select("doc_id", "_tk", "text", "h", "first", "pre", "more", "weight").mapInArrow(run, "doc_id long, _tk long, h long, w long, p long, weight short")
+    return rows.select("doc_id", "_tk", "text", "h", "first", "pre", "more", "weight").mapInArrow(run, "doc_id long, _tk long, h long, b long, name long, first long, pre short, more short, weight short")
 
 
 def _with(documents: DataFrame, keys: DataFrame, without: bool = False) -> DataFrame | None:
@@ -159,21 +170,32 @@ def _with(documents: DataFrame, keys: DataFrame, without: bool = False) -> DataF
     return documents.join(F.broadcast(keys), same, "left_anti" if without else "left_semi")
 
 
+def refined(rows: DataFrame, bucket: list[str], length: int, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """A level: rows (doc_id, _tk, *bucket, name, first, pre, more, weight) to the byte runs of names that occur twice, and representatives
+    of the names in buckets that hold a name of one member beside others. weight 2 stands for members that are done."""
+    name = [*bucket, "name"]
+    one = F.min(F.struct("doc_id", "_tk", "first", "pre", "more")).alias("one")
+    classes = stored(rows.groupBy(*name).agg(F.sum("weight").alias("n"), one), "names")
+    twice = classes.where("n > 1").select(*name)
+    whole = rows.where("weight = 1").join(twice, name).select("doc_id", "_tk", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
+    if last:
+        return whole, None
+    open_ = classes.groupBy(*bucket).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("names")).where("least = 1 and names > 1").select(*bucket)
+    reps = classes.join(open_, bucket).select("h", "one.doc_id", "one._tk", "one.first", "one.pre", "one.more", F.least("n", F.lit(2)).cast("short").alias("weight"))
+    return whole, stored(reps, "representatives")
+
+
 def repeats(documents: DataFrame, length: int) -> DataFrame:
     """(doc_id, _tk, a, b): runs of bytes that are covered by repeated strings; they may overlap. documents: keyed."""
     rows = anchors(documents, length)
     many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    kept = stored(rows.join(many, "h"), "anchors")
-    name = ["h", "name", "pre", "more"]
-    one = F.min(F.struct("doc_id", "_tk", "first")).alias("one")
-    classes = stored(kept.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), one), "runs")
-    whole = kept.join(classes.where("n > 1").select(*name), name).select("doc_id", "_tk", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
-    open_ = classes.groupBy("h").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("runs")).where("least = 1 and runs > 1").select("h")
-    reps = classes.join(open_, "h").select("h", "one.doc_id", "one._tk", "one.first", "pre", "more", F.least("n", F.lit(2)).cast("short").alias("weight"))
-    parts = stored(windows(documents, stored(reps, "representatives"), length), "windows")
-    twice = parts.groupBy("h", "w").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "w")
-    single = parts.where("weight = 1").join(twice, ["h", "w"]).select("doc_id", "_tk", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-    return whole.unionByName(single)
+    kept = stored(rows.join(many, "h").withColumn("weight", F.lit(1).cast("short")), "anchors")
+    found, reps = refined(kept, ["h"], length)
+    for step in (STEP, 1):
+        parts = stored(cells(documents, reps, length, min(step, length)), "cells")
+        more, reps = refined(parts, ["h", "b"], length, last=step == 1)
+        found = found.unionByName(more)
+    return found
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>"
