@@ -12,7 +12,8 @@ in order from rare to common, any two that share C meet in the lists of their fi
   similar, either both are similar to the pivot, so that the links to the pivot join them already, or their differences share an element:
   were the differences disjoint, |x ^ y| = |dx| + |dy|, and |dx| <= t (|x| + |y|) - |dy| <= t (|x| + |pivot|) as |y| <= |pivot| + |dy| and
   t < 1 (t = (1 - s) / (1 + s); similarity s means |x ^ y| <= t (|x| + |y|)). So differences are indexed in turn, by
-  prefixes that their sizes allow, and only pairs of which one isn't linked to the pivot are looked for. No pair is lost.
+  prefixes that their sizes allow, and only pairs of which one isn't linked to the pivot are looked for. No pair is lost. That
+  holds for any pivot; the one that is taken is the member nearest to what most hold, so that differences are small.
 
 Union sketches (the K least values of both sketches) drop pairs of fewer than C values in both. What is left is verified on full sets.
 Links make components, by stars, in tables.
@@ -173,10 +174,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 LINK, OPEN, OPEN_TO_LINKED, LINKED = range(4)
 
 
-def difference_entries(p: np.ndarray, x: np.ndarray, similarity: int) -> tuple[bool, dict[int, np.ndarray]]:
-    """If x is similar to the pivot p, and the keys of its difference that stand in the index, by kind."""
-    added, missing = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-    d = np.concatenate([added, mix(missing + np.uint64(1))])  # what a member adds is rarer than what it lacks
+def difference_entries(p: np.ndarray, x: np.ndarray, similarity: int, fp: np.ndarray | None = None, fx: np.ndarray | None = None, members: int = 0) -> tuple[bool, int, dict[int, np.ndarray]]:
+    """If x is similar to the pivot p, the size of its difference, and the keys of the difference that stand in the index, by kind, in order.
+
+    fp, fx: how many of the group's members hold each element of p and x. Entries are taken from the rarest: what few members add
+    or lack comes first. Any order that is the same for all members is right; this one makes short lists."""
+    more, less = ~np.isin(x, p, assume_unique=True), ~np.isin(p, x, assume_unique=True)
+    d = np.concatenate([x[more], mix(p[less] + np.uint64(1))])
+    if fp is not None:
+        d = d[np.lexsort((d, np.concatenate([fx[more], members - fp[less]])))]
     t, most = (100 - similarity) / (100 + similarity), 100 / similarity
     linked = len(d) * (100 + similarity) <= (100 - similarity) * (len(x) + len(p))
 
@@ -185,37 +191,68 @@ def difference_entries(p: np.ndarray, x: np.ndarray, similarity: int) -> tuple[b
 
     half = math.floor((len(d) + t * (len(p) - len(x))) / 2 - 1e-9) + 1
     if linked:
-        return True, {LINKED: first(half)}
+        return True, len(d), {LINKED: first(half)}
     out = {OPEN: first(half)}
     least = math.ceil(len(d) - t * len(x) * (1 + most) - 1e-9)
     if least <= t * (len(x) * most + len(p)) + 1e-9:  # else no linked member's difference is large enough
         out[OPEN_TO_LINKED] = first(least)
-    return False, out
+    return False, len(d), out
+
+
+def groups(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, x, members, p, s, sp): the members of each pivot's group with their sets as (f, v), f the members that hold v; p is the member
+    that is nearest to what most members hold, which is a better pivot than the one that named the group."""
+    members = stars.select(F.col("p").alias("g"), "x").unionByName(stars.select(F.col("p").alias("g"), F.col("p").alias("x"))).distinct()
+    held = members.join(sets.select(F.col("rid").alias("x"), "full"), "x").select("g", "x", F.explode("full").alias("v"))
+    often = held.groupBy("g", "v").agg(F.count(F.lit(1)).alias("f"))
+    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    score = F.sum(F.when(F.col("f") * 2 >= F.col("members"), 1).otherwise(-1)).alias("score")
+    rows = held.join(often, ["g", "v"]).join(size, "g").groupBy("g", "x").agg(F.sort_array(F.collect_list(F.struct("v", "f"))).alias("s"), score, F.first("members").alias("members"))
+    rows = stored(rows, "groups")
+    best = rows.groupBy("g").agg(F.max_by("x", F.struct("score", -F.col("x"))).alias("p"))
+    pivots = rows.select("g", F.col("x").alias("p"), F.col("s").alias("sp")).join(best, ["g", "p"])
+    return rows.join(pivots, "g").where("x <> p").select("g", "x", "members", "p", *(F.col(c).alias(n) for c, n in (("s.v", "v"), ("s.f", "f"), ("sp.v", "pv"), ("sp.f", "pf"))))
 
 
 def differences(stars: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(kind, g, x, key, size, at, n): links (key: the pivot), and the index of differences: their size, the place of key in them, and x's size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for p, x, fp, fx in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), _lists(batch.column(3)), strict=True):
-                linked, entries = difference_entries(fp, fx, similarity)
-                rows += [(LINK, p, x, 0)] * linked
+            v, pv = (_lists(batch.column(i)) for i in (4, 6))
+            f, pf = ([x.astype(np.int64) for x in _lists(batch.column(i))] for i in (5, 7))
+            for i, (g, x, members, p) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                order, p_order = np.argsort(v[i]), np.argsort(pv[i])
+                linked, size, entries = difference_entries(pv[i][p_order], v[i][order], similarity, pf[i][p_order], f[i][order], members)
+                rows += [(LINK, g, x, p, 0, 0, 0)] * linked
                 for kind, keys in entries.items():
-                    rows += [(kind, p, x, k) for k in keys.view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.int64()) for i in range(4)], names=["kind", "p", "x", "key"])
+                    rows += [(kind, g, x, k, size, at, len(v[i])) for at, k in enumerate(keys.view(np.int64).tolist())]
+            names = ["kind", "g", "x", "key", "size", "at", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i in (0, 4, 5, 6) else pa.int64()) for i in range(7)], names=names)
+
+    return groups(stars, sets).mapInArrow(run, "kind int, g long, x long, key long, size int, at int, n int")
 
-    return _with_sets(stars, sets, "p", "x").mapInArrow(run, "kind int, p long, x long, key long")
 
+def pivot_pairs(index: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) whose differences to a pivot share an entry, and can share as much as they have to.
 
-def pivot_pairs(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose differences to a pivot share an entry."""
+    At the first entry that two differences share, no more of either than what follows is shared; pairs for which that isn't enough,
+    or whose sizes are too far apart, drop out in the join."""
 
     def side(kind: int, name: str) -> DataFrame:
-        return index.where(F.col("kind") == kind).select("p", "key", F.col("x").alias(name))
+        return index.where(F.col("kind") == kind).select("g", "key", F.col("x").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "at", "n")))
+
+    def met(one: DataFrame, two: DataFrame, a: str, b: str) -> DataFrame:
+        c = lambda name, k: F.col(f"{name}_{k}")
+        room = F.lit((100 - similarity) / (100 + similarity)) * (c("n", a) + c("n", b)) + 1e-6
+        left = F.least(c("size", a) - c("at", a), c("size", b) - c("at", b))
+        able = (left * 2 + room >= c("size", a) + c("size", b)) & (F.abs(c("size", a) - c("size", b)) <= room) & _sizes_fit(c("n", a), c("n", b), similarity)
+        return one.join(two, ["g", "key"]).where(able & (F.col(a) < F.col(b)) if (a, b) == ("a", "b") else able)
 
-    two = side(OPEN, "a").join(side(OPEN, "b"), ["p", "key"]).where("a < b").select("a", "b")
-    one = side(OPEN_TO_LINKED, "x").join(side(LINKED, "y"), ["p", "key"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return two.unionByName(one).distinct()
+    both = met(side(OPEN, "a"), side(OPEN, "b"), "a", "b").select("a", "b")
+    half = met(side(OPEN_TO_LINKED, "x"), side(LINKED, "y"), "x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return both.unionByName(half).distinct()
 
 
 def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5) -> DataFrame:
@@ -235,8 +272,8 @@ def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5)
     used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(stars.select(F.explode(F.array("p", "x")).alias("rid"))).distinct()
     sets = stored(full_sets(documents, reps.select("rid", "d", "t").join(used, "rid"), width), "sets")
     index = stored(differences(stars, sets, similarity), "differences")
-    more = stored(pivot_pairs(index).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    links = verified(pairs.unionByName(more), sets, similarity).unionByName(index.where(F.col("kind") == LINK).select(F.col("p").alias("a"), F.col("x").alias("b")))
+    more = stored(pivot_pairs(index, similarity).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    links = verified(pairs.unionByName(more), sets, similarity).unionByName(index.where(F.col("kind") == LINK).select(F.col("key").alias("a"), F.col("x").alias("b")))
     found = components(stored(links, "links"))
     named = reps.select("rid", "node", "low").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.withColumn("root", F.coalesce("root", "rid"))
