@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.url import Scope, normalize_url, resolve
+from lodestar.storage import stored
 
 MAX_SITEMAP_DEPTH = 8
 
@@ -76,13 +77,14 @@ def discover_sitemaps(files: DataFrame, start_url: str, scope: Scope, extra: lis
     keyed = files.withColumn("key", normalize_url(F.col("sitemap_url"), strip_params=strip_params))
     frontier = spark.createDataFrame([(u, i) for i, u in enumerate(dict.fromkeys(roots))], "url string, ord int").select(normalize_url(F.col("url"), F.lit(start_url)).alias("key"), "ord")
     seen, parts = None, []
-    for level in range(MAX_SITEMAP_DEPTH + 1):
+    for level in range(MAX_SITEMAP_DEPTH + 1):  # each level is written, so that none is read anew by those behind it
         frontier = frontier.groupBy("key").agg(F.min("ord").alias("ord"))
         if seen is not None:
             frontier = frontier.join(seen, "key", "left_anti")
+        frontier = stored(frontier, "sitemap-frontier")
         here = keyed.join(frontier, "key")
-        rows = read_sitemaps(here)
-        parts.append(rows.join(here.select(F.col("sitemap_url").alias("sitemap_source"), "ord"), "sitemap_source").withColumn("level", F.lit(level)))
+        rows = stored(read_sitemaps(here).join(here.select(F.col("sitemap_url").alias("sitemap_source"), "ord"), "sitemap_source").withColumn("level", F.lit(level)), "sitemap-level")
+        parts.append(rows)
         seen = frontier.select("key") if seen is None else seen.unionByName(frontier.select("key"))
         children = rows.where("kind = 'child'").select(normalize_url(F.col("url"), F.col("sitemap_source")).alias("key"), F.lit(0).alias("ord"))
         if children.limit(1).count() == 0:
