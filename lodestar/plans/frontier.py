@@ -109,7 +109,7 @@ def crawl(fetch_log: DataFrame, sitemap_urls: DataFrame, config: CrawlConfig, sc
         fresh = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("normalized_url").orderBy("seq"))).where("_k = 1").drop("_k", "skip_status", "detail")
         taken = stored(capped(fresh, scheduled, config), "level")
         sizes = {r["kind"]: r["n"] for r in taken.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not sizes:
+        if not sizes and pages is not None:
             break
         scheduled = {k: scheduled.get(k, 0) + sizes.get(k, 0) for k in {*scheduled, *sizes}}
         seen = taken.select("normalized_url") if seen is None else seen.unionByName(taken.select("normalized_url"))
@@ -117,6 +117,8 @@ def crawl(fetch_log: DataFrame, sitemap_urls: DataFrame, config: CrawlConfig, sc
         answers = due.join(log.drop("url"), "normalized_url", "left")
         got = stored(route(answers, scope, config), "fetched")
         pages = got if pages is None else pages.unionByName(got)
+        if not sizes:
+            break
         read = got.where((F.col("status") == "SUCCESS") & (F.col("page_kind") == "HTML"))
         links = links_of(read.select(F.coalesce("final_url", "url").alias("url"), F.col("body").alias("html"))).select("url", "link", "kind")
         depth_of = read.select(F.coalesce("final_url", "url").alias("at"), F.col("normalized_url").alias("referrer"), "depth").dropDuplicates(["at"])
