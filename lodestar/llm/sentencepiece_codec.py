@@ -32,7 +32,7 @@ from lodestar.llm.common import texts, tuned
 
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
-CACHE = 200_000
+CACHE = 300_000
 #: Chunks of more symbols go through the heap.
 SHORT = 48
 #: Chunks that are learnt together.
