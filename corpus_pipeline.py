@@ -42,8 +42,8 @@ def _without(docs: DataFrame, judged: DataFrame, name: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")), "near-duplicates")
+    """Of each group of near duplicates (0.8 of their shingles of five words or more), the document with the smallest doc_id stays."""
+    return _without(docs, near_duplicates(docs, similarity=80).where(~F.col("kept")), "near-duplicates")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ A document's set holds its distinct hashed word shingles; its sketch the K least
 only classes are compared.
 
 Candidates. The sketches of two sets with the Jaccard similarity sought share at least C values: of the K least values of their union
-each is in both with that probability, so fewer are shared with a probability below 1e-8 at K = 64, C = 36 (and never, where sets fit
-into their sketches). So values that no other class holds drop out, and with them classes of fewer than C shared values. Of the others,
+each is in both with that probability, so fewer are shared with a probability below 1e-8 (and never, where sets fit into their sketches).
+C follows from K and the similarity: at K = 64 it is 36 for 0.85 and 31 for 0.80. So values that no other class holds drop out, and with them classes of fewer than C shared values. Of the others,
 in order from rare to common, any two that share C meet in the lists of their first (shared - C + 1) values.
 - Lists of at most LIST classes give pairs.
 - Longer lists never do. A pivot is taken from each, and each member's difference d to the pivot's set is computed. If two members are
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,31 @@ from lodestar.llm.common import mix, stored, text_key, tuned, utf8
 from lodestar.llm.components import components
 from lodestar.llm.shingles import Shingler, signature
 
-K, C = 64, 36
+K = 64
+#: The share of similar pairs that may fail to meet.
+LOSS = 1e-8
 LIST = 64
 #: At most so many keys are sent to each executor to pick documents by (some tens of MB); beyond, both sides are shuffled.
 SENT = 500_000
 
 
+@cache
+def shared(similarity: int, k: int = K) -> int:
+    """C: the most values that sketches of k of two similar sets share, but for a share of LOSS of such pairs.
+
+    At most k s^2, so that where less than C is asked of a set, its union with any similar set fits into the sketches."""
+    c, fewer = 0, 0
+    while c < k * similarity**2 // 10_000:
+        fewer += math.comb(k, c) * similarity**c * (100 - similarity) ** (k - c)
+        if fewer * round(1 / LOSS) >= 100**k:
+            break
+        c += 1
+    return c
+
+
+C = shared(85)
+
+
 def _rows(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray]:
     data, bounds = utf8(batch.column(column))
     shingler = Shingler(width)
@@ -92,7 +112,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def needed(n: Column, similarity: int) -> Column:
     """Least number of shared sketch values with any similar set."""
-    return F.greatest(F.least(F.ceil(n * similarity / 100 - 1e-9), F.lit(C)), F.lit(1))
+    return F.greatest(F.least(F.ceil(n * similarity / 100 - 1e-9), F.lit(shared(similarity))), F.lit(1))
 
 
 def prefixes(reps: DataFrame, similarity: int) -> DataFrame:
@@ -126,6 +146,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     a = sk.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = sk.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    least = shared(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +161,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
                 else:
                     first = np.r_[True, ~twin]  # one for each value of the union
                     last = int(np.searchsorted(np.cumsum(first), K, "right"))
-                    keep.append(int(twin[: max(0, last - 1)].sum()) >= C)
+                    keep.append(int(twin[: max(0, last - 1)].sum()) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(run, "a long, b long")

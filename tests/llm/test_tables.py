@@ -244,6 +244,27 @@ def test_sketches_estimate_and_verify():
     assert lost < 1e-8
 
 
+def changed(rng: random.Random, words: list[str], n: int) -> str:
+    """The words with n of them, far from each other, replaced."""
+    out = list(words)
+    for i in range(n):
+        out[(i * 2 + 1) * len(words) // (2 * n)] = f"u{rng.random()}"
+    return " ".join(out)
+
+
+def test_near_dedup_stage_takes_similarities_from_80(spark, sf_dir):
+    import corpus_pipeline
+
+    rng, docs = random.Random(3), []
+    for g, (size, n) in enumerate([(104, 2), (104, 3), (404, 8), (404, 9), (404, 4), (30, 0)] * 3):
+        words = [f"g{len(docs)}w{i}" for i in range(size)]
+        docs += [(10 * g, " ".join(words)), (10 * g + 1, changed(rng, words, n) if n else " ".join(words))]
+    kept = [d for d, _, _, k in brute_near(docs, 80) if k]
+    assert len(kept) < sum(k for *_, k in brute_near(docs, 85))
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()) == kept
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**6), st.integers(4, 40), st.integers(50, 95))
 def test_pivot_entries_lose_no_link(seed, size, percent):
