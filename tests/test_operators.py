@@ -18,9 +18,10 @@ from test_functions import SAMPLE
 from lodestar import schemas, web
 from lodestar.cli import config_of, parser
 from lodestar.config import EXCLUDE_PATTERNS, CrawlConfig
+from lodestar.functions import phone
 from lodestar.functions.url import Scope
 from lodestar.operators import coverage, inventory
-from lodestar.operators.occurrences import html_occurrences, page_links, pdf_occurrences, reconcile
+from lodestar.operators.occurrences import html_occurrences, page_links, pdf_occurrences, reconcile, text_candidates
 from lodestar.plans import frontier
 from lodestar.session import run, visited_of
 from lodestar.sources import feeds, sinks
@@ -248,6 +249,15 @@ def test_occurrences_of_a_page(spark):
     assert [(r["link"], r["kind"]) for r in links] == [("https://x.edu/admissions/viewbook.pdf", "PDF")]
 
 
+def test_rows_that_skip_python_have_no_candidates(spark):
+    """Wide gaps, digits that aren't ASCII, and white space that Java doesn't know."""
+    gaps = ["", "-", ".", " " * 5, "\t" * 9, "\n\n", "\x1c", "\xa0\u3000", " - . - "]
+    texts = [f"call {a}{g}{b}{h}{c} now" for g in gaps for h in gaps for a, b, c in (("614", "555", "1234"), ("(614)", "555", "1234"), ("٦١٤", "٥٥٥", "١٢٣٤"))] + ["no number", "12 34", ""]
+    want = sorted((i, n.start, n.raw) for i, t in enumerate(texts) for n in phone.scan(t))
+    got = text_candidates(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).select("i", "c.start", "c.raw").collect()
+    assert len(want) == len(texts) - 3 and sorted(tuple(r) for r in got) == want
+
+
 def test_checkpoint(spark, tmp_path):
     state = sinks.Checkpoint(spark, f"file://{tmp_path}/state")
     assert state.levels() == [] and state.pending() is None
