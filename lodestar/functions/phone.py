@@ -88,6 +88,12 @@ def status_rank(status: Column) -> Column:
 
 # --- the same for one text, with spans ---
 
+#: What may stand between the digits of a number with a country code, at most four at a place.
+MARKS = r"[ \xa0\xad\u200b\u2060\u3000()（）\[\]［］.\-‐-―−/~]"
+#: A plus and 8 to 15 digits, of which the first isn't 1; it ends before a North American number.
+FOREIGN = rf"(?<![\w+])\+{MARKS}{{0,4}}[2-9](?:{MARKS}{{0,4}}\d){{7}}(?:(?!{MARKS}{{1,4}}{NUMBER}(?!\w)){MARKS}{{0,4}}\d){{0,7}}(?!\w)"
+
+_foreign = re.compile(FOREIGN)
 _candidate = re.compile(rf"(?<!\w){NUMBER}{EXTENSION_TAIL}(?!\w)", re.I)
 _extension, _hints, _not_number = re.compile(EXTENSION, re.I), re.compile(HINTS, re.I), re.compile(f"{ADDRESS}|{DATE}")
 _valid = re.compile(rf"{AREA}[2-9]\d{{6}}")
@@ -142,22 +148,25 @@ def parse_number(raw: str, extension: str | None = None) -> Number:
 
 
 def scan(text: str) -> list[Number]:
-    """Candidates of a text in order. Valid numbers may take an extension from the characters behind them; candidates near a hint
-    are kept as invalid."""
+    """Candidates of a text in order: numbers with a foreign country code, and North American ones that don't overlap them. Valid and
+    foreign numbers may take an extension from the characters behind them; candidates near a hint are kept as invalid."""
+    foreign = [(m.start(), m.end(), True) for m in _foreign.finditer(text)] if "+" in text else []
+    spans = [(m.start(), m.end(), False) for m in _candidate.finditer(text)]
+    if foreign:
+        spans = sorted(foreign + [(a, b, f) for a, b, f in spans if not any(a < y and b > x for x, y, _ in foreign)])
     out = []
-    for m in _candidate.finditer(text):
-        raw, start, end = m[0], m.start(), m.end()
+    for start, end, abroad in spans:
+        raw = text[start:end]
         around = text[max(0, start - HINT_RADIUS) : end + HINT_RADIUS]
         digits = re.sub(r"\D", "", raw)
         if _not_number.search(raw) or (len(digits) in (4, 5) and not raw.strip().startswith("+")) or _hints.search(around):
             out.append(Number(raw, notes="false_positive_hint", start=start, end=end))
             continue
         got = parse_number(raw)
-        if got.status == "VALID" and got.extension is None:
+        if (abroad or got.status == "VALID") and got.extension is None:
             tail = text[end : end + TAIL]
             found = _extension.match(tail.strip()) or _extension.search(tail)
             got.extension = found[1] if found else None
         got.start, got.end = start, end
         out.append(got)
     return out
-

@@ -16,7 +16,7 @@ from lodestar.sources import html as H
 
 #: What any candidate has; rows without it needn't go to Python. Digits and white space are those of Python: Java may know fewer
 #: digits (so unassigned code points pass), and doesn't count x1C to x1F as white space.
-HAS_DIGITS = r"(?U)[\p{Nd}\p{Cn}]{3}[\s\x1c-\x1f.\-]*[\p{Nd}\p{Cn}]{4}"
+HAS_DIGITS = r"(?U)[\p{Nd}\p{Cn}]{3}[\s\x1c-\x1f.\-]*[\p{Nd}\p{Cn}]{4}|\+[^\p{L}]{0,4}[2-9]"
 
 CANDIDATES = "array<struct<raw:string,start:int,end:int,validation_status:string,extension:string,e164:string,national:string,normalized:string,country_code:int,notes:string>>"
 

@@ -100,6 +100,15 @@ def test_scan():
     assert phone.scan("é614-555-1234") == [] and phone.scan("4111 1111 1111 1111") == []
 
 
+def test_scan_finds_numbers_with_foreign_country_codes():
+    found = phone.scan("London +44 20 7946 0958 ext. 7, Dublin +353 1 234 5678\nSydney +61 (2) 9374-4000; Delhi +91 614 555 1234 or 614-555-1234")
+    assert [(n.e164, n.country_code, n.extension) for n in found] == [("+442079460958", 44, "7"), ("+35312345678", 353, None), ("+61293744000", 61, None), ("+916145551234", 91, None), ("+16145551234", 1, None)]
+    assert [n.raw for n in phone.scan("+44 20 7946 0958 614-555-1234")] == ["+44 20 7946 0958", "614-555-1234"]
+    assert [n.raw for n in phone.scan("+44 20 7946 0958 (614) 555-1234")] == ["+44 20 7946 0958", "(614) 555-1234"]
+    assert phone.scan("a+442079460958, +44 20 79, +4420794609581234567") == []
+    assert phone.scan("invoice +44 20 7946 0958")[0].notes == "false_positive_hint"
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from(["614", "555", "1234", "-", " ", ".", "(", ")", "+1", "x12", "ext. 3", "zip ", "é", "a", "\n"]), max_size=14))
 def test_scan_spans(parts):

@@ -253,6 +253,7 @@ def test_rows_that_skip_python_have_no_candidates(spark):
     """Wide gaps, digits that aren't ASCII, and white space that Java doesn't know."""
     gaps = ["", "-", ".", " " * 5, "\t" * 9, "\n\n", "\x1c", "\xa0\u3000", " - . - "]
     texts = [f"call {a}{g}{b}{h}{c} now" for g in gaps for h in gaps for a, b, c in (("614", "555", "1234"), ("(614)", "555", "1234"), ("٦١٤", "٥٥٥", "١٢٣٤"))] + ["no number", "12 34", ""]
+    texts = ["+44 20 7946 0958", "at +(353) 1 234 5678", *texts]
     want = sorted((i, n.start, n.raw) for i, t in enumerate(texts) for n in phone.scan(t))
     got = text_candidates(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).select("i", "c.start", "c.raw").collect()
     assert len(want) == len(texts) - 3 and sorted(tuple(r) for r in got) == want
