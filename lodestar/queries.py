@@ -12,7 +12,7 @@ from lodestar.functions import phone
 from lodestar.functions.text import join_list, truncate
 from lodestar.functions.url import Scope, ensure_scheme, file_name, host, looks_like_pdf, normalize_url, path, resolve, skip_reason
 from lodestar.operators import coverage, inventory
-from lodestar.operators.occurrences import document_occurrences, page_links, reconcile, scan_phones
+from lodestar.operators.occurrences import document_occurrences, page_links, reconcile, scan_phones, text_candidates
 from lodestar.plans import frontier, synthetic
 from lodestar.sources import feeds
 from lodestar.sources import html as H
@@ -137,10 +137,11 @@ def tel_links_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM c WHERE regexp_matches(around, '{HINTED}') GROUP BY doc_id"""
 )
 def phone_hint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with candidates near a word that tells against them."""
-    around = F.regexp_extract_all(F.col("text"), F.lit(rf"(?iU)((?:^|.{{0,40}}[^\p{{L}}\p{{N}}_])(?:{phone.NUMBER}{phone.EXTENSION_TAIL})(?:$|[^\p{{L}}\p{{N}}_].{{0,39}}))"), F.lit(1))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(around).alias("around"))
-    return rows.where(F.col("around").rlike(f"(?i){phone.HINTS}")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Documents with candidates near a word that tells against them; each candidate has a window of its own, across lines."""
+    rows = text_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    start = F.greatest(F.col("c.start") - phone.HINT_RADIUS, F.lit(0))
+    around = F.substring("text", start + 1, F.col("c.end") + phone.HINT_RADIUS - start)
+    return rows.where(around.rlike(f"(?iU){phone.HINTS}")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -23,6 +23,7 @@ from lodestar.functions.url import Scope
 from lodestar.operators import coverage, inventory
 from lodestar.operators.occurrences import html_occurrences, page_links, pdf_occurrences, reconcile, text_candidates
 from lodestar.plans import frontier
+from lodestar.queries import phone_hint_documents
 from lodestar.session import run, visited_of
 from lodestar.sources import feeds, sinks
 from lodestar.sources.fetch import fetch
@@ -259,6 +260,19 @@ def test_rows_that_skip_python_have_no_candidates(spark):
     assert len(want) == len(texts) - 3 and sorted(tuple(r) for r in got) == want
 
 
+def test_hints_count_for_each_candidate(spark, tmp_path):
+    """Brute force: the 40 characters on both sides of each candidate, which may hold other candidates and line ends."""
+    a, b = "614-555-1234", "614-555-9999"
+    texts = [f"{a}{' .' * 17} {b}{' .' * 15}invoice", f"invoice\n{a}\n{b}", f"{a} {b} {a} zip code", f"{a}\n\n\nISBN", f"{'x ' * 30}{a}{' .' * 20} year", f"😀 year {a}", a, "year", None]
+    want = {}
+    for i, t in enumerate(texts):
+        n = sum(phone._hints.search(t[max(0, c.start - 40) : c.end + 40]) is not None for c in phone.scan(t or ""))
+        want |= {i: n} if n else {}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = phone_hint_documents(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == want and want[0] == 1 and want[1] == 2 and want[2] == 3
+
+
 def test_checkpoint(spark, tmp_path):
     state = sinks.Checkpoint(spark, f"file://{tmp_path}/state")
     assert state.levels() == [] and state.pending() is None
