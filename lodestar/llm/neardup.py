@@ -5,7 +5,7 @@ only classes are compared.
 
 Candidates. The sketches of two sets with the Jaccard similarity sought share at least C values: of the K least values of their union
 each is in both with that probability, so fewer are shared with a probability below 1e-8 (and never, where sets fit into their sketches).
-C follows from K and the similarity: at K = 64 it is 36 for 0.85 and 31 for 0.80. So values that no other class holds drop out, and with them classes of fewer than C shared values. Of the others,
+C follows from K and the similarity: at K = 64 it is 36 for 0.85 and 31 for 0.80; K grows where C would be too small. So values that no other class holds drop out, and with them classes of fewer than C shared values. Of the others,
 in order from rare to common, any two that share C meet in the lists of their first (shared - C + 1) values.
 - Lists of at most LIST classes give pairs.
 - Longer lists never do. A pivot is taken from each, and each member's difference d to the pivot's set is computed. If two members are
@@ -61,6 +61,19 @@ def shared(similarity: int, k: int = K) -> int:
 
 
 C = shared(85)
+#: Sketches grow until similar sets share so many values.
+LEAST = 8
+
+
+@cache
+def fitted(similarity: int) -> tuple[int, int]:
+    """Size of the sketches, and C."""
+    if not 1 <= similarity <= 100:
+        raise ValueError(f"similarity must be from 1 to 100 percent, not {similarity}")
+    k = K
+    while shared(similarity, k) < LEAST:
+        k *= 2
+    return k, shared(similarity, k)
 
 
 def _rows(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray]:
@@ -83,7 +96,7 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def sketches(documents: DataFrame, width: int) -> DataFrame:
+def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
     """(doc_id, _tk, node binary, n, sketch array<long>); node is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +104,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
             sets = list(_rows(batch, 2, width))
             node = pa.array([signature(x) if len(x) else None for x in sets], pa.binary())
             n = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, n, _longs([x[:K] for x in sets])], names=["doc_id", "_tk", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, n, _longs([x[:k] for x in sets])], names=["doc_id", "_tk", "node", "n", "sketch"])
 
     return documents.select(*text_key(), "text").mapInArrow(run, "doc_id long, _tk long, node binary, n long, sketch array<long>")
 
@@ -112,7 +125,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def needed(n: Column, similarity: int) -> Column:
     """Least number of shared sketch values with any similar set."""
-    return F.greatest(F.least(F.ceil(n * similarity / 100 - 1e-9), F.lit(shared(similarity))), F.lit(1))
+    return F.greatest(F.least(F.ceil(n * similarity / 100 - 1e-9), F.lit(fitted(similarity)[1])), F.lit(1))
 
 
 def prefixes(reps: DataFrame, similarity: int) -> DataFrame:
@@ -146,7 +159,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     a = sk.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = sk.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    least = shared(similarity)
+    k, least = fitted(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +168,12 @@ def estimated(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
             for x, y, n, m in zip(_lists(batch.column(4)), _lists(batch.column(5)), na, nb, strict=True):
                 both = np.sort(np.concatenate([x, y]))
                 twin = both[1:] == both[:-1]
-                if n <= K and m <= K:
+                if n <= k and m <= k:
                     hits = int(twin.sum())
                     keep.append(100 * hits >= similarity * (len(both) - hits))
                 else:
                     first = np.r_[True, ~twin]  # one for each value of the union
-                    last = int(np.searchsorted(np.cumsum(first), K, "right"))
+                    last = int(np.searchsorted(np.cumsum(first), k, "right"))
                     keep.append(int(twin[: max(0, last - 1)].sum()) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -279,11 +292,11 @@ def pivot_pairs(index: DataFrame, similarity: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5) -> DataFrame:
     """One row for each row of documents: doc_id, _tk (hash of the text), n_shingles, component_id, kept.
 
-    similarity: percent of the union that the intersection has at least; width: words of a shingle.
+    similarity: percent (1 to 100) of the union that the intersection has at least; width: words of a shingle.
     """
     tuned(documents.sparkSession)
     documents = documents.select("doc_id", "text")
-    rows = stored(sketches(documents, width), "sketches")
+    rows = stored(sketches(documents, width, fitted(similarity)[0]), "sketches")
     picked = F.min(F.struct("doc_id", "_tk")).alias("one")
     reps = rows.where("node is not null").groupBy("node").agg(picked, F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "node", F.col("one.doc_id").alias("d"), F.col("one._tk").alias("t"), "low", "n", "sketch"), "classes")

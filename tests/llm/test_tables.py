@@ -265,6 +265,27 @@ def test_near_dedup_stage_takes_similarities_from_80(spark, sf_dir):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()) == kept
 
 
+def test_sketches_fit_the_similarity():
+    for s in (5, 20, 30, 50, 60, 70, 80, 85, 95, 100):
+        k, c = neardup.fitted(s)
+        assert neardup.LEAST <= c <= k * s * s / 10_000
+        assert sum(math.comb(k, i) * s**i * (100 - s) ** (k - i) for i in range(c)) * 10**8 < 100**k
+    assert neardup.fitted(85) == (64, 36) == (neardup.K, neardup.C)
+    with pytest.raises(ValueError):
+        neardup.fitted(0)
+
+
+@pytest.mark.parametrize("percent", [30, 50])
+def test_low_similarities_lose_no_pair(spark, percent):
+    rng, docs = random.Random(percent), []
+    for g in range(25):
+        words = [f"g{g}w{i}" for i in range(304)]
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, changed(rng, words, {30: 30, 50: 19}[percent]))]
+    want = brute_near(docs, percent)
+    assert sum(k for *_, k in want) == 25
+    same(near_of(spark.createDataFrame(docs, "doc_id long, text string"), similarity=percent), want)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**6), st.integers(4, 40), st.integers(50, 95))
 def test_pivot_entries_lose_no_link(seed, size, percent):
