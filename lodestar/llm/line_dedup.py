@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table (h1, h2, n, top) sorted by the 128-bit hash of a line's key: the rows that hold the line, and the largest doc_id among
-them. Each batch of documents is merge-anti-joined with the runs, which tells its new lines from known ones, and adds a run of
-its own at level 0; as soon as a level has `fanout` runs, they are merged into one run of the next level. So a batch never rewrites
-the whole store, and the runs to look into stay few.
+them. Each batch of documents adds a run of its own at level 0; as soon as a level has `fanout` runs, they are merged into one run of
+the next level. So a batch never rewrites the whole store, and the runs to look into stay few. dedup_lines() counts over the runs at
+the end; only dedup_batch(), for incremental use, merge-anti-joins a batch with the runs, which tells its new lines from known ones.
 
 A line's key is the line without white space (x20, x09 to x0D) at both ends, with A-Z lower-cased. Keys of at least min_chars code points
 that at least min_docs rows hold lose all their lines but those in the largest doc_id.
