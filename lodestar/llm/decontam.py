@@ -1,32 +1,39 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-1. Test windows: every `width` consecutive words of an item (a shorter item is one window).
-2. One pass over the documents counts the occurrences of each test term.
-3. Each window is led by its rarest term. A second pass stores the postings of these terms: document, place, and the words around
-   the place, which stand for the other terms' lists adjusted by their offsets.
-4. Windows meet the postings of their rarest term; the second rarest term's list is intersected first, then the others: an equal
-   slice is a phrase match. With near=True, windows all of whose words stand within the stored radius are returned as well.
+1. Test windows: every `width` consecutive words of an item (a shorter item is one window). Equal windows are one, whoever has them.
+2. One pass over the documents stores the index: a posting (document, place, term) for each occurrence of a test term, and a row with
+   the number of words for each document. Documents are split into words this once; all that follows reads the index.
+3. Counts of the postings order each window's terms from the rarest.
+4. The list of a window's rarest term, moved by the term's offset, gives candidates (document, window, start). They are intersected with
+   the list of the second rarest term at its offset, and what is left with the lists of all other terms. What remains are exact phrase
+   matches; with near=True, windows all of whose terms stand within width - 1 words of an occurrence of the rarest are returned as well.
 5. Matches are merged into covered words by a window over each document's matches.
 
-The test terms go to the executors in blocks of at most BLOCK_TERMS (some tens of MB), whatever the size of the benchmark; documents
-are never shuffled, only counts, postings of rare terms and matches are. No window or posting is capped.
+Documents are never shuffled. Terms and windows go to the executors in blocks of at most BLOCK_ROWS (some tens of MB), whatever the size
+of the benchmark, so that no term is a key of a shuffle: lists meet by document and place, which spreads the list of a term that stands
+everywhere. Lists are read for the terms, and at last for the documents, that still have candidates. No window, list or posting is capped.
 
 Null texts have no words. Rows of documents with equal doc_id and text are judged alike, with an equal doc_id and other text
-each on its own; a null doc_id is a value. A null item_id counts as the item ''. Repeated items count once. An empty benchmark hits nothing.
-Other columns are ignored.
+each on its own; a null doc_id is a value. A null item_id counts as the item ''. Repeated items count once. An empty benchmark hits nothing,
+and an empty table of documents gives no rows. Texts of any length are split whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import stored, text_key
+from lodestar.llm.common import SENT, stored, text_key
 
 WIDTH = 13
-BLOCK_TERMS = 500_000
+BLOCK_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands behind each document's words, where no word can be: its posting tells how many there are.
+END = "\n"
+PLACE = ["doc_id", "_tk", "tid", "pos"]
 
 
 def words(text: Column) -> Column:
@@ -43,75 +50,129 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return items.select("item_id", "w", at.alias("at")).select("item_id", F.slice("w", F.col("at"), width).alias("win")).distinct()
 
 
-def _in_blocks(terms: DataFrame, use) -> DataFrame:
-    """The union of use(block of terms) over blocks that are small enough to be sent to each executor."""
-    n = max(1, -(-terms.count() // BLOCK_TERMS))
+def _in_blocks(rows: DataFrame, key: str, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of use(block of rows) over blocks by key that are small enough to be sent to each executor."""
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
     out = None
     for k in range(n):
-        block = terms if n == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k)
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)
         part = use(F.broadcast(block))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences in documents of each of the terms that occur."""
-    tokens = documents.select(F.explode(words(F.col("text"))).alias("term"))
-    return _in_blocks(terms, lambda block: tokens.join(block, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-
-
-def postings(documents: DataFrame, terms: DataFrame, radius: int = WIDTH - 1) -> DataFrame:
-    """(term, doc_id, _tk, pos, before, after): each occurrence of the terms, with up to radius words on either side."""
-    tokens = documents.select(*text_key(), words(F.col("text")).alias("w")).select("doc_id", "_tk", "w", F.posexplode("w").alias("pos", "term"))
-    around = [
-        F.slice("w", F.greatest(F.col("pos") - radius, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(radius))).alias("before"),
-        F.slice("w", F.col("pos") + 2, radius).alias("after"),
-    ]
-    return _in_blocks(terms, lambda block: tokens.join(block, "term").select("term", "doc_id", "_tk", "pos", *around))
-
-
-def led_windows(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows with their rarest term, its offset, and the second rarest with its offset; only windows all of whose terms occur."""
-    terms = wins.select("item_id", "win", F.posexplode("win").alias("off", "term")).join(counts, "term")
-    by = F.array_sort(F.collect_list(F.struct("n", "term", "off")))
-    led = terms.groupBy("item_id", "win").agg(by.alias("by")).where(F.size("by") == F.size("win"))
-    first, second = F.col("by")[0], F.col("by")[F.least(F.size("by") - 1, F.lit(1))]
-    return led.select("item_id", "win", first["term"].alias("term"), first["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2"))
+def index(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, _tk, tid, pos) of each occurrence of terms (term, tid), and (doc_id, _tk, -1, number of words) of each document."""
+    tokens = documents.select(*text_key(), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
+    ends = terms.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(-1).cast("long").alias("tid"))
+    return _in_blocks(terms.unionByName(ends), "term", lambda block: tokens.join(block, "term").select(*PLACE))
+
+
+def by_rarity(wins: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(wid, size, by): the terms (n, tid, off) of each window from the rarest; only windows all of whose terms occur."""
+    parts = wins.select("wid", F.size("win").alias("size"), F.posexplode("win").alias("off", "term")).join(terms, "term").join(counts, "tid")
+    by = F.array_sort(F.collect_list(F.struct("n", "tid", "off")))  # at most width of them
+    return parts.groupBy("wid", "size").agg(by.alias("by")).where(F.size("by") == F.col("size"))
+
+
+def candidates(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(doc_id, _tk, wid, by, start): the places at which each window would start by its rarest term's list."""
+    leads = ranked.select("wid", "by", F.col("by")[0]["tid"].alias("tid"), F.col("by")[0]["off"].alias("off"))
+    met = _in_blocks(leads, "tid", lambda block: postings.join(block, "tid"))
+    return met.select("doc_id", "_tk", "wid", "by", (F.col("pos") - F.col("off")).alias("start"))
+
+
+def _met(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """wanted (with doc_id, _tk, tid, pos) where a posting stands at its place."""
+    p = postings.select(*(F.col(c).alias(f"p_{c}") for c in PLACE))
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) if c == "doc_id" else F.col(c) == F.col(f"p_{c}") for c in PLACE]
+    return wanted.join(p, same[0] & same[1] & same[2] & same[3]).select(*wanted.columns)
+
+
+def _of_documents(postings: DataFrame, rows: DataFrame) -> DataFrame:
+    """The postings of the documents of rows; of all, if those are too many to be sent."""
+    docs = stored(rows.select(F.col("doc_id").alias("d"), F.col("_tk").alias("t")).distinct(), "candidate-documents")
+    if docs.count() > SENT:
+        return postings
+    return postings.join(F.broadcast(docs), postings["doc_id"].eqNullSafe(F.col("d")) & (postings["_tk"] == F.col("t")), "left_semi")
+
+
+def phrases(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(doc_id, _tk, wid, start): exact matches, by intersecting the lists of each window's terms from the rarest."""
+    key = ["doc_id", "_tk", "wid", "start"]
+    found = candidates(postings, ranked).where("start >= 0")
+    done = found.where(F.size("by") == 1).select(*key)
+    second = F.col("by")[1]
+    tids = stored(ranked.where(F.size("by") > 1).select(second["tid"].alias("tid")).distinct(), "second-terms")
+    lists = _in_blocks(tids, "tid", lambda block: postings.join(block, "tid", "left_semi"))
+    two = found.where(F.size("by") > 1).select(*key, "by", second["tid"].alias("tid"), (F.col("start") + second["off"]).alias("pos"))
+    two = stored(_met(two, lists).select(*key, "by").distinct(), "candidates")
+    done = done.unionByName(two.where(F.size("by") == 2).select(*key))
+    more = two.where(F.size("by") > 2)
+    rest = more.select(*key, F.size("by").alias("size"), F.explode(F.slice("by", F.lit(3), F.size("by"))).alias("x"))
+    rest = rest.select(*key, "size", F.col("x.tid").alias("tid"), (F.col("start") + F.col("x.off")).alias("pos"))
+    whole = _met(rest, _of_documents(postings, more)).distinct().groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 2").select(*key)
+    return done.unionByName(whole).distinct()
+
+
+
+
+def proximities(postings: DataFrame, ranked: DataFrame, width: int) -> DataFrame:
+    """(doc_id, _tk, wid, start, stop): stretches around an occurrence of a window's rarest term in which all its terms stand at most
+    width - 1 words from it; from the first to the last of their nearest occurrences."""
+    near = candidates(postings, ranked).withColumn("at", F.col("start") + F.col("by")[0]["off"]).select("doc_id", "_tk", "wid", "at", "by").distinct()
+    tids = F.array_distinct(F.transform("by", lambda x: x["tid"]))
+    # places are cut into blocks of width words: what is near stands in the same block or one beside it
+    wanted = near.select("doc_id", "_tk", "wid", "at", F.size(tids).alias("size"), F.explode(tids).alias("tid"))
+    wanted = wanted.select("*", F.explode(F.array(*(F.floor(F.col("at") / width) + k for k in (-1, 0, 1)))).alias("block"))
+    p = _of_documents(postings, near).select(F.col("doc_id").alias("d"), F.col("_tk").alias("t"), F.col("tid").alias("i"), "pos", F.floor(F.col("pos") / width).alias("b"))
+    met = wanted.join(p, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_tk") == F.col("t")) & (F.col("tid") == F.col("i")) & (F.col("block") == F.col("b")))
+    gap = F.abs(F.col("pos") - F.col("at"))
+    key = ["doc_id", "_tk", "wid", "at"]
+    best = met.where(gap < width).groupBy(*key, "size", "tid").agg(F.min_by("pos", F.struct(gap, "pos")).alias("pos"))
+    held = best.groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop")).where("n = size")
+    return held.select("doc_id", "_tk", "wid", "start", "stop").distinct()
+
+
+def _matches(documents: DataFrame, benchmark: DataFrame, width: int, near: bool) -> tuple[DataFrame, DataFrame]:
+    """The index, and (doc_id, _tk, item_id, start, stop, kind, words): matches of each item's windows, of so many words."""
+    of_items = stored(windows(benchmark, width), "windows")
+    wins = stored(of_items.select("win").distinct().select(F.monotonically_increasing_id().alias("wid"), "win"), "distinct-windows")
+    terms = stored(wins.select(F.explode("win").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("tid")), "terms")
+    postings = stored(index(documents, terms), "index")
+    counts = postings.where("tid >= 0").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    ranked = stored(by_rarity(wins, terms, counts), "ranked-windows")
+    named = of_items.join(wins, "win").select("wid", "item_id", F.size("win").alias("words"))
+    found = phrases(postings, ranked)
+    out = found.join(named, "wid").select("doc_id", "_tk", "item_id", "start", (F.col("start") + F.col("words")).alias("stop"), F.lit("phrase").alias("kind"), "words")
+    if near:
+        there = stored(found, "phrases").withColumnsRenamed({"doc_id": "d", "_tk": "t", "wid": "i", "start": "s"})
+        other = proximities(postings, ranked, width)
+        is_phrase = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_tk") == F.col("t")) & (F.col("wid") == F.col("i")) & (F.col("start") == F.col("s"))
+        other = other.join(there, is_phrase, "left_anti")
+        out = out.unionByName(other.join(named, "wid").select("doc_id", "_tk", "item_id", "start", "stop", F.lit("near").alias("kind"), "words"))
+    return postings, out.distinct()
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, near: bool = False) -> DataFrame:
     """(doc_id, _tk, item_id, start, stop, kind): phrase matches in word places, and with near=True also near matches."""
-    wins = stored(windows(benchmark, width), "windows")
-    counts = stored(term_counts(documents, wins.select(F.explode("win").alias("term")).distinct()), "term-counts")
-    led = stored(led_windows(wins, counts), "led-windows")
-    index = stored(postings(documents, led.select("term").distinct(), width - 1), "postings")
-    met = led.join(index, "term").withColumn("ctx", F.concat("before", F.array("term"), "after"))
-    here = F.size("before") - F.col("off")  # place of the window's first word in ctx
-    second = F.try_element_at("ctx", here + F.col("off2") + 1) == F.col("term2")
-    fits = (here >= 0) & (here + F.size("win") <= F.size("ctx"))
-    phrase = fits & F.when(fits, second & (F.slice("ctx", here + 1, F.size("win")) == F.col("win"))).otherwise(False)
-    begin = F.col("pos") - F.col("off")
-    found = met.where(phrase).select("doc_id", "_tk", "item_id", begin.alias("start"), (begin + F.size("win")).alias("stop"), F.lit("phrase").alias("kind"))
-    if near:
-        held = F.forall("win", lambda x: F.array_contains("ctx", x)) & ~phrase
-        begin = F.col("pos") - F.size("before")
-        found = found.unionByName(met.where(held).select("doc_id", "_tk", "item_id", begin.alias("start"), (begin + F.size("ctx")).alias("stop"), F.lit("near").alias("kind")))
-    return found.distinct()
+    return _matches(documents, benchmark, width, near)[1].drop("words")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20) -> DataFrame:
-    """One row for each row of documents, with _tk (hash of the text); contaminated if at least one in share words is hit."""
-    documents = documents.select("doc_id", "text")
-    found = stored(matches(documents, benchmark.select("item_id", "text"), width), "matches")
+    """One row for each row of documents, with _tk (hash of the text); contaminated if at least one in share words is hit, whole if a
+    window of width words is."""
+    postings, found = _matches(documents.select("doc_id", "text"), benchmark.select("item_id", "text"), width, near=False)
+    found = stored(found, "matches")
     key = ["doc_id", "_tk"]
     order = Window.partitionBy(*key).orderBy("start", "stop")
     reach = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = found.select(*key, "start", "stop").distinct().withColumn("reach", reach)
     new = F.greatest(F.col("stop") - F.greatest("start", "reach"), F.lit(0))
     hits = spans.groupBy(*key).agg(F.sum(new).alias("n_hit"))
-    items = found.groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    by_doc = hits.join(items, [hits[c].eqNullSafe(items[c]) for c in key]).select(*(hits[c].alias(f"h{c}") for c in key), "n_hit", "items")
-    rows = documents.select(*text_key(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    items = found.groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("words").alias("longest"))
+    by_doc = hits.join(items, [hits[c].eqNullSafe(items[c]) for c in key]).select(*(hits[c].alias(f"h{c}") for c in key), "n_hit", "items", "longest")
+    rows = postings.where("tid = -1").select("doc_id", "_tk", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(by_doc, rows.doc_id.eqNullSafe(by_doc.hdoc_id) & (rows._tk == by_doc.h_tk), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -122,6 +183,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce(F.col("longest") >= width, F.lit(False)).alias("whole"),
     )
 
 
