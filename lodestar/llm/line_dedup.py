@@ -1,29 +1,33 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n, top) sorted by the 128-bit hash of a line's key: the rows that hold the line, and the largest doc_id among
-them. Each batch of documents adds a run of its own at level 0; as soon as a level has `fanout` runs, they are merged into one run of
-the next level. So a batch never rewrites the whole store, and the runs to look into stay few. dedup_lines() counts over the runs at
-the end; only dedup_batch(), for incremental use, merge-anti-joins a batch with the runs, which tells its new lines from known ones.
+A run is a table (h1, h2, n, top, fresh) of lines by the 128-bit hash of their keys, in buckets by the hash and sorted in each: the documents
+that hold the line, the largest doc_id among them, and if no earlier run had it. Each batch of documents is merge-anti-joined with the runs,
+which tells its new lines from known ones, and adds a run of its own at level 0, in which known lines only carry what they add. As soon as a
+level has two runs, a merge join folds them into one of the next level, and they go. So a batch never rewrites the whole store, and the runs to
+look into stay few. As all runs share their buckets, only a batch's own lines are shuffled, after they were counted where they were read; runs
+are neither shuffled nor sorted again.
 
 A line's key is the line without white space (x20, x09 to x0D) at both ends, with A-Z lower-cased. Keys of at least min_chars code points
-that at least min_docs rows hold lose all their lines but those in the largest doc_id.
+that at least min_docs documents hold lose all their lines but those in the largest doc_id.
 
-Null and empty texts are one empty line. Each row of documents counts as a document; rows that repeat a doc_id with the same text count
-each and are treated alike, and all rows of the largest doc_id keep the line. A null doc_id is smaller than any other. Texts of
-any length are split whole. Other columns are ignored. An empty table gives no rows.
+Null and empty texts are one empty line. Documents count by doc_id: rows that repeat one count once, and all rows of the largest doc_id keep
+the line. A null doc_id is a value, smaller than any other. Texts of any length are split whole. Other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import scratch, stored, text_key, texts, tuned
+from lodestar.llm.common import SENT, drop_scratch, scratch, stored, text_key, texts, tuned
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANKS = " \t\n\x0b\f\r"
@@ -58,67 +62,105 @@ def line_hashes(documents: DataFrame, min_chars: int = MIN_CHARS, batches: int =
     return documents.select(*text_key(), "text", batch).mapInArrow(run, "h1 long, h2 long, doc_id long, _tk long, batch int")
 
 
-class LineRuns:
-    """The store of runs in the shared folder."""
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, scans of bucketed tables tell that the one file of each bucket is sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
-    SCHEMA = "h1 long, h2 long, n long, top long"
+class LineRuns:
+    """The store of runs: bucketed tables in the shared folder, until close()."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
-        self.spark, self.fanout, self.made = spark, fanout, 0
-        self.path = scratch(spark, "line-runs")
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.buckets = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.read.schema(self.SCHEMA).parquet(p) for level in self.levels for p in level]
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        self.made += 1
-        path = f"{self.path}/level={level}/run={self.made}"
-        rows.select("h1", "h2", "n", "top").sortWithinPartitions(*HASH).write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-
-    def merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy(*HASH).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-
-    def split(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """A batch's lines that no run holds, and those that some run holds: merge joins by the hash."""
-        known = self.runs()
-        if not known:
-            return lines, lines.limit(0)
-        keys = self.merged(known).select(*HASH)
-        return lines.join(keys.hint("merge"), HASH, "left_anti"), lines.join(keys.hint("merge"), HASH, "left_semi")
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"lodestar_lines_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, "line-run")
+        rows = rows.select("h1", "h2", "n", "top", "fresh")
+        with sorted_scans(self.spark):
+            rows.write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_scratch(self.paths.pop(name))
+
+    def close(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
+        self.levels = [[]]
+
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows (with h1, h2) with fresh: if no run holds the line. Merge joins by bucket."""
+        fresh = F.lit(True)
+        for i, run in enumerate(self.runs()):
+            rows = rows.join(run.where("fresh").select(*HASH, F.lit(True).alias(f"in_{i}")).hint("merge"), HASH, "left")
+            fresh = fresh & F.col(f"in_{i}").isNull()
+        return rows.withColumn("fresh", fresh).drop(*(f"in_{i}" for i in range(len(self.runs()))))
+
+    def merged(self, one: str, two: str) -> str:
+        """A run of what both hold."""
+        a, b = (self.spark.table(name).select(*HASH, *(F.col(c).alias(f"{c}{i}") for c in ("n", "top", "fresh"))) for i, name in enumerate((one, two)))
+        no = F.lit(False)
+        both = a.join(b.hint("merge"), HASH, "full_outer")
+        n = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+        name = self._write(both.select(*HASH, n.alias("n"), F.greatest("top0", "top1").alias("top"), (F.coalesce("fresh0", no) | F.coalesce("fresh1", no)).alias("fresh")))
+        self._drop(one)
+        self._drop(two)
+        return name
 
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch's (h1, h2, doc_id, ...) as a run, and compacts the levels that are full."""
-        self._write(lines.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            full = self.levels[level]
-            self._write(self.merged([self.spark.read.schema(self.SCHEMA).parquet(p) for p in full]), level + 1)
-            self.levels[level] = []
+        """Adds a batch's (h1, h2, doc_id) as a run, and compacts the levels that have two."""
+        own = lines.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+        name, level = self._write(self.marked(own)), 0
+        while self.levels[level]:
+            name = self.merged(self.levels[level].pop(), name)
             level += 1
-
-    def common(self, min_docs: int) -> DataFrame:
-        """(h1, h2, top) of the lines that at least min_docs rows hold."""
-        return self.merged(self.runs()).where(F.col("n") >= min_docs).select("h1", "h2", "top")
+            if level == len(self.levels):
+                self.levels.append([])
+        self.levels[level].append(name)
+
+    def whole(self) -> DataFrame:
+        """All lines (h1, h2, n, top), in one run."""
+        names = [name for level in self.levels for name in level]
+        while len(names) > 1:
+            names.append(self.merged(names.pop(), names.pop()))
+        self.levels = [[] for _ in self.levels[1:]] + [names]
+        if not names:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n long, top long")
+        return self.spark.table(names[0]).select("h1", "h2", "n", "top")
+
+
+def once_a_document(lines: DataFrame, documents: DataFrame) -> DataFrame:
+    """lines (h1, h2, doc_id, ...) with one row for each line and doc_id, where rows of documents repeat a doc_id."""
+    again = stored(documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d")), "repeated-ids")
+    n = again.count()
+    if not n:
+        return lines
+    again = F.broadcast(again) if n <= SENT else again
+    same, cols = F.col("doc_id").eqNullSafe(F.col("d")), [c for c in ("h1", "h2", "doc_id", "batch") if c in lines.columns]
+    return lines.join(again, same, "left_anti").select(*cols).unionByName(lines.join(again, same, "left_semi").select(*cols).distinct())
 
 
 def dedup_batch(store: LineRuns, documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Incremental use: (doc_id, _tk, h1, h2) of the batch's lines that earlier batches don't hold; the batch is then added."""
-    lines = line_hashes(documents, min_chars).drop("batch")
-    path = scratch(store.spark, "batch-lines")
-    lines.write.parquet(path)
-    lines = store.spark.read.schema(lines.schema).parquet(path)
-    new = store.split(lines)[0].select("doc_id", "_tk", *HASH)
-    at = scratch(store.spark, "new-lines")
-    new.write.parquet(at)
-    store.add(lines)
-    return store.spark.read.schema(new.schema).parquet(at)
+    lines = stored(line_hashes(documents, min_chars).drop("batch"), "batch-lines")
+    with sorted_scans(store.spark):
+        new = stored(store.marked(lines).where("fresh").select("doc_id", "_tk", *HASH), "new-lines")
+    store.add(once_a_document(lines, documents))
+    return new
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -127,10 +169,13 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     path = scratch(spark, "lines")
     line_hashes(documents, min_chars, batches).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("h1 long, h2 long, doc_id long, _tk long, batch int").parquet(path)
-    store = LineRuns(spark, fanout=max(2, batches // 2))
+    store = LineRuns(spark)
+    once = once_a_document(lines, documents)
     for b in range(batches):
-        store.add(lines.where(F.col("batch") == b))
-    common = stored(store.common(min_docs), "common-lines")  # on its own, so that a join with a hot line can be split
+        store.add(once.where(F.col("batch") == b))
+    common = store.whole().where(F.col("n") >= min_docs).select("h1", "h2", "top")
+    common = stored(common, "common-lines")  # on its own, so that a join with a hot line can be split
+    store.close()
     drop = lines.join(common, HASH).where(~F.col("doc_id").eqNullSafe(F.col("top")))
     drop = drop.groupBy(F.col("doc_id").alias("d"), F.col("_tk").alias("t")).agg(F.collect_set(F.struct(*HASH)).alias("s"))
     drop = drop.select("d", "t", F.transform("s", lambda x: x["h1"]).alias("s1"), F.transform("s", lambda x: x["h2"]).alias("s2"))
