@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -56,6 +58,13 @@ STRIP_QUERY_PARAMS = (
 )
 
 
+def default_output_dir(start_url: str, root: str = "output", at: datetime | None = None) -> str:
+    """A folder for a run: its host and the time."""
+    m = re.match(r"(?:(?:https?:)?//)?(?:[^/?#@]*@)?([^/?#:@]+)", start_url.strip(), re.I)
+    return os.path.join(root, f"{m[1].lower() if m else 'site'}_{(at or datetime.now()):%Y%m%d_%H%M%S}")
+
+
+# Names and defaults of the options.
 @dataclass(frozen=True)
 class CrawlConfig:
     """Settings of a run; a cap of 0 means no cap, an empty list of exclude patterns or parameters the defaults."""

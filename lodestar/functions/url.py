@@ -12,8 +12,8 @@ from lodestar.config import EXCLUDE_PATTERNS, STRIP_QUERY_PARAMS
 from lodestar.functions.text import strip
 
 _AUTHORITY = r"(?i)^(https?)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-# Public suffixes of two labels that are told from one-label ones.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "edu.au", "org.au", "co.jp", "ac.jp", "co.nz", "ac.nz", "com.br", "co.in", "ac.in", "co.za")
+# Second-level labels that country domains keep for kinds of holders, so that a.b.co.uk belongs to b.co.uk.
+SECOND_LEVEL = "ac co com edu gen go gob gouv gov govt gub id idf ind info kr ltd me mi mil muni ne net nic nom or org plc pro re sch school web".split()
 
 
 def _part(url: Column, n: int) -> Column:
@@ -104,11 +104,22 @@ def file_name(url: Column) -> Column:
 
 
 def registrable(h: str) -> str:
-    """Domain and public suffix of a host, by a small table; addresses and single labels as they are."""
+    """Domain and public suffix of a host; addresses and single labels as they are.
+
+    A public suffix is the last label, or by rule the last two where the last is a country's and the one before stands for a kind of holders."""
     labels = h.split(".")
     if re.fullmatch(r"[\d.]+|\[.*\]", h) or len(labels) < 3:
         return h
-    return ".".join(labels[-3:] if ".".join(labels[-2:]) in TWO_LABEL_SUFFIXES else labels[-2:])
+    return ".".join(labels[-3:] if len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL else labels[-2:])
+
+
+def registrable_domain(h: Column) -> Column:
+    """As registrable(), native."""
+    labels = F.split(h, r"\.", -1)
+    n = F.size(labels)
+    two = (F.char_length(F.get(labels, n - 1)) == 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL)
+    last = F.array_join(F.slice(labels, F.greatest(n - F.when(two, 2).otherwise(1), F.lit(1)), F.lit(3)), ".")
+    return F.when(h.rlike(r"^(?:[\d.]+|\[.*\])$") | (n < 3), h).otherwise(last)
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.phone import dedupe_key, status_rank
 from lodestar.functions.text import either, strip
+from lodestar.storage import stored
 
 TITLES, CONTEXTS, HEADINGS = 12, 8, 8
 
@@ -112,24 +114,34 @@ def classify(phones: DataFrame, rules: tuple = RULES) -> DataFrame:
     )
 
 
+def unlabelled(phones: DataFrame, limit: int = 200) -> DataFrame:
+    """The first numbers that no rule labels."""
+    return in_order(phones.where("classification_source <> 'RULES'")).limit(limit)
+
+
 def relabel(phones: DataFrame, ask: Callable[[str], dict] | None, limit: int = 200) -> DataFrame:
     """Asks ask(prompt) about the first numbers that no rule labels; without ask nothing changes, and a failed call changes nothing.
 
     ask returns classification, number_kind and confidence."""
     if ask is None:
         return phones
-    open_ = in_order(phones.where("classification_source <> 'RULES'")).limit(limit)
+    open_ = unlabelled(phones, limit)
     prompt = F.concat_ws("\n", F.concat(F.lit("Number: "), F.coalesce("e164_phone", "normalized_phone", F.lit(""))), F.concat(F.lit("Context: "), F.array_join(F.slice("sample_contexts", 1, 3), " | ")), F.concat(F.lit("Headings: "), F.array_join(F.slice("nearest_headings", 1, 3), " | ")))
 
-    @F.udf("struct<label:string,kind:string,confidence:double>")
-    def answer(text: str) -> tuple | None:
-        try:
-            got = ask(text)
-            return str(got.get("classification") or "Unknown"), str(got.get("number_kind") or "UNKNOWN").upper(), float(got.get("confidence") or 0.5)
-        except Exception:  # noqa: BLE001  one number's failure isn't the run's
-            return None
-
-    told = open_.select("key", answer(prompt).alias("a")).where("a is not null")
+    def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["key"], batch["prompt"], strict=True):
+                try:
+                    got = ask(text)
+                    rows.append((key, str(got.get("classification") or "Unknown"), str(got.get("number_kind") or "UNKNOWN").upper(), float(got.get("confidence") or 0.5)))
+                except Exception:  # noqa: BLE001  one number's failure isn't the run's
+                    continue
+            yield pd.DataFrame(rows, columns=["key", "label", "kind", "confidence"])
+
+    asked = stored(open_.select("key", prompt.alias("prompt")), "prompts").repartition(8)
+    told = stored(asked.mapInPandas(answers, "key string, label string, kind string, confidence double"), "labels")  # asked once, whatever reads it
+    told = told.select("key", F.struct("label", "kind", "confidence").alias("a"))
     rows = phones.join(F.broadcast(told), "key", "left")  # limit rows at most
     there, first = F.col("a").isNotNull(), F.coalesce(F.get("sample_contexts", F.lit(0)), F.lit(""))
     new = {

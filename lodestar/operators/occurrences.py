@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions import phone
-from lodestar.functions.text import page_window, window_context
+from lodestar.functions.text import either, page_window, window_context
 from lodestar.functions.url import Scope
 from lodestar.sources import html as H
 
@@ -90,11 +90,14 @@ def document_occurrences(documents: DataFrame) -> DataFrame:
 
 EXTRACTED = """url string, title string, h1 string, headings array<string>, canonical_url string, text string, header_text string, footer_text string, nav_text string,
 hrefs array<string>, tel_links array<struct<href:string,text:string,raw_number:string>>, schema_phones array<string>,
-numbers array<struct<branch:int,pos:int,raw:string,start:int,validation_status:string,extension:string,e164:string,national:string,normalized:string,country_code:int,notes:string,context:string,heading:string,container:string,kind:string>>"""
+numbers array<struct<branch:int,pos:int,raw:string,start:int,validation_status:string,extension:string,e164:string,national:string,normalized:string,country_code:int,notes:string,context:string,heading:string,container:string,kind:string>>, parse_error string"""
 
 
 def _page(url: str, html: str) -> tuple:
-    root = H.tree(html)
+    root = H.tree(html, hidden=True)
+    marked = H.schema_phones(root)
+    H.prune(root)
+    places = H.Places(root)
     text = " ".join(root.text().split())
     header, footer, nav = (H.regions(root, t, r) for t, r in (("header", "banner"), ("footer", "contentinfo"), ("nav", "navigation")))
     title = next((n.raw().strip() for n in root.nodes("title")), None)
@@ -102,29 +105,34 @@ def _page(url: str, html: str) -> tuple:
     headings = [t for n in root.nodes(*H.HEADINGS) if (t := n.text())]
     numbers: list[tuple] = []
 
-    def add(branch: int, n: phone.Number, context: str, heading: str | None, container: str | None, kind: str) -> None:
-        numbers.append((branch, len(numbers), n.raw, n.start, n.status, n.extension, n.e164, n.national, n.normalized, n.country_code, n.notes, context, heading, container, kind))
+    def add(branch: int, n: phone.Number, raw: str, otherwise: str, heading: str | None = None, keep: bool = False) -> None:
+        node = places.element(raw)
+        around = places.container(node)
+        context = around or otherwise
+        numbers.append((branch, len(numbers), n.raw, n.start, n.status, n.extension, n.e164, n.national, n.normalized, n.country_code, n.notes, context, places.heading(node) or heading, context if keep else None, "semantic_dom" if around else "text_window"))
 
     tel = H.tel_links(root)
     for _, shown, raw in tel:
         number, _, tail = raw.replace("%20", " ").partition(";") if ";" in raw else raw.replace("%20", " ").partition(",")
         m = H.re.search(r"(?i)ext(?:ension)?=(\d{1,6})", tail) or H.re.search(r"(\d{1,6})", tail)
-        got = phone.parse_number(number, m[1] if m else None)
-        container, heading = H.container_of(root, H.element_of(root, raw))
-        context = container or H.shorten(shown or text, 400)
-        add(0, got, context, heading, context, "semantic_dom" if container else "text_window")
-    for raw in H.schema_phones(html):
-        got = phone.parse_number(raw)
-        container, heading = H.container_of(root, H.element_of(root, raw))
-        add(1, got, container or H.shorten(text, 300), heading, None, "semantic_dom" if container else "text_window")
+        add(0, phone.parse_number(number, m[1] if m else None), raw, H.shorten(shown or text, 400), keep=True)
+    for raw in marked:
+        add(1, phone.parse_number(raw), raw, H.shorten(text, 300))
     whole = " ".join(x for x in (text, header, footer, nav) if x)
     for got in phone.scan(whole):
-        container, heading = H.container_of(root, H.element_of(root, got.raw))
-        around = whole[max(0, got.start - 150) : got.end + 150]
-        window = " ".join((("…" if got.start > 150 else "") + around + ("…" if got.end + 150 < len(whole) else "")).split())
-        add(2, got, container or window, heading or (headings[0] if headings else None), None, "semantic_dom" if container else "text_window")
+        low, high = max(0, got.start - 150), got.end + 150
+        window = ("…" if low else "") + whole[low:high] + ("…" if high < len(whole) else "")
+        add(2, got, got.raw, " ".join(window.split()), headings[0] if headings else None)
     links = [a.attrs["href"].strip() for a in root.nodes("a") if "href" in a.attrs]
-    return (url, title or None, h1, headings, H.canonical(root), text, header, footer, nav, links, tel, H.schema_phones(html), numbers)
+    return (url, title or None, h1, headings, H.canonical(root), text, header, footer, nav, links, tel, marked, numbers, None)
+
+
+def _read(url: str, html: str) -> tuple:
+    """The fields of a page; one that can't be read has its error and nothing else, and the others go on."""
+    try:
+        return _page(url, html)
+    except Exception as e:  # noqa: BLE001  any fault in a page's markup
+        return (url, None, None, [], None, "", "", "", "", [], [], [], [], f"{type(e).__name__}: {e}"[:500])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -133,7 +141,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in H.re.sub(r"<[^()]*?>(?=,|$)", "", EXTRACTED.replace("\n", " ")).split(", ")]
         for batch in batches:
-            yield pd.DataFrame([_page(u, h or "") for u, h in zip(batch["url"], batch["html"], strict=True)], columns=names)
+            yield pd.DataFrame([_read(u, h or "") for u, h in zip(batch["url"], batch["html"], strict=True)], columns=names)
 
     return pages.select("url", "html").mapInPandas(run, EXTRACTED)
 
@@ -195,6 +203,22 @@ def reconcile(static: DataFrame, rendered: DataFrame) -> DataFrame:
     return both.select(*out, order.alias("seq"))
 
 
+def first_seen_labels(occurrences: DataFrame) -> DataFrame:
+    """(source_url, label, page_title, seq): on each page each number once, where it stands first, by the form that it is announced in."""
+    label = either(F.col("e164_phone"), F.col("normalized_phone"), F.col("raw_phone"))
+    rows = occurrences.withColumn("label", label).where("label <> ''")
+    return rows.groupBy("source_url", "label").agg(F.min_by("page_title", "seq").alias("page_title"), F.min("seq").alias("seq"))
+
+
+def without_overlaps(spans: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """spans (key, start, end, ...) that overlap none of others (key, start, end) of the same text: an anti join by text and interval.
+
+    The others of a text meet its spans in one row, so texts with many of both don't multiply."""
+    taken = others.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_taken"))
+    free = ~F.exists(F.coalesce("_taken", F.array().cast("array<struct<start:int,end:int>>")), lambda o: (o["start"] < F.col("end")) & (o["end"] > F.col("start")))
+    return spans.join(taken, F.col(key) == F.col("_key"), "left").where(free).drop("_key", "_taken")
+
+
 def page_links(pages: DataFrame, scope: Scope | None = None) -> DataFrame:
     """(url, html) to distinct links of each page in order: url, pos, link, kind (HTML or PDF); native."""
     from lodestar.functions.url import host, looks_like_pdf, normalize_url, resolve

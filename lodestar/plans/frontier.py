@@ -78,14 +78,19 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int, seen: DataFrame |
     return done
 
 
-def crawl(fetch_log: DataFrame, sitemap_urls: DataFrame, config: CrawlConfig, scope: Scope, links_of: Callable[[DataFrame], DataFrame], allowed: Callable[[Column], Column] | None = None, visited: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(
+    fetch_log: DataFrame, sitemap_urls: DataFrame, config: CrawlConfig, scope: Scope, links_of: Callable[[DataFrame], DataFrame], allowed: Callable[[Column], Column] | None = None, visited: DataFrame | None = None,
+    fetch: Callable[[DataFrame], DataFrame] | None = None, on_level: Callable[[int, DataFrame | None, DataFrame, dict[str, int]], None] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Follows links through a fetch log, a level at a time; returns pages (routed rows with depth, referrer, source, seq) and events.
 
-    links_of: pages (url, html) to (url, pos, link, kind). visited: (normalized_url, kind) of an earlier run, which isn't fetched
+    links_of: pages (url, html) to (url, pos, link, kind). fetch: (url) to rows of a fetch log, for what the log doesn't answer.
+    on_level: called with each level's number, new rows of the log (None without fetch), pages, and how many are scheduled by kind. visited: (normalized_url, kind) of an earlier run, which isn't fetched
     again and counts for the caps. Each level is written to the shared folder, so a lost executor costs one level at most."""
     spark = fetch_log.sparkSession
     log = fetch_log.withColumn("normalized_url", normalize_url(F.col("url"), strip_params=config.strip_query_params))
     log = log.withColumn("_k", F.row_number().over(Window.partitionBy("normalized_url").orderBy(F.desc("fetched_at"), "url"))).where("_k = 1").drop("_k")
+    log = stored(log, "log")  # each level looks into it
     kind = lambda c: F.when(looks_like_pdf(c), "PDF").otherwise("HTML")
     none = F.lit(None).cast("string")
     start = spark.createDataFrame([(config.start_url,)], "url string").select("url", normalize_url(F.col("url")).alias("normalized_url"), F.lit(0).alias("depth"), F.lit("HTML").alias("kind"), none.alias("referring_url"), F.lit("seed").alias("source"))
@@ -114,8 +119,15 @@ def crawl(fetch_log: DataFrame, sitemap_urls: DataFrame, config: CrawlConfig, sc
         scheduled = {k: scheduled.get(k, 0) + sizes.get(k, 0) for k in {*scheduled, *sizes}}
         seen = taken.select("normalized_url") if seen is None else seen.unionByName(taken.select("normalized_url"))
         due = taken if config.include_pdfs else taken.where("kind <> 'PDF'")
-        answers = due.join(log.drop("url"), "normalized_url", "left")
+        answered, new = log, None
+        if fetch is not None:
+            new = stored(fetch(due.join(log.select("normalized_url"), "normalized_url", "left_anti").select("url")), "answers")
+            more = new.withColumn("bytes", F.octet_length(F.coalesce("body", F.lit("")))).withColumn("normalized_url", normalize_url(F.col("url"), strip_params=config.strip_query_params))
+            answered = log.unionByName(more.dropDuplicates(["normalized_url"]))
+        answers = due.join(answered.drop("url"), "normalized_url", "left")
         got = stored(route(answers, scope, config), "fetched")
+        if on_level is not None:
+            on_level(level, new, got, scheduled)
         pages = got if pages is None else pages.unionByName(got)
         if not sizes:
             break

@@ -8,15 +8,18 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar import progress
 from lodestar.config import CrawlConfig
 from lodestar.functions.text import either
 from lodestar.functions.url import Scope, file_name, normalize_url, resolve
 from lodestar.operators import coverage, inventory
-from lodestar.operators.occurrences import extract_pages, html_occurrences, page_links, pdf_occurrences, reconcile
+from lodestar.operators.occurrences import extract_pages, first_seen_labels, html_occurrences, page_links, pdf_occurrences, reconcile
 from lodestar.plans.frontier import crawl
 from lodestar.sources import html as H
+from lodestar.schemas import FETCH_LOG
 from lodestar.sources import sinks
 from lodestar.sources.feeds import Robots, discover_sitemaps
+from lodestar.sources.fetch import fetch, fetch_bytes, fetch_files
 from lodestar.storage import stored
 
 
@@ -64,28 +67,51 @@ class Result:
             "pages": self.pages.drop("seq"),
             "sitemaps": self.sitemaps,
         }
+        sinks.write_json(tables["pages"], f"{output}/pages_audit.jsonl")
         paths = sinks.export_csvs(tables, output) | sinks.export_report(self.report(), output)
         sheets = {"Summary": tables["crawl_report"], "Phone Inventory": tables["phone_inventory"], "Phone Occurrences": tables["phone_occurrences"], "URL Inventory": tables["url_inventory"], "Crawl Coverage": tables["url_inventory"], "Errors": tables["crawl_errors"]}
         top = [inventory.top_phones(self.phones), inventory.top_phones(self.phones, "unique_url_count")]
         return paths | {"workbook": sinks.export_workbook(sheets, f"{output}/phone_inventory.xlsx", top)}
 
 
-def run(spark: SparkSession, config: CrawlConfig, fetch_log: DataFrame, sitemap_files: DataFrame | None = None, robots: str | None = None, rendered: DataFrame | None = None, visited: DataFrame | None = None, ask=None) -> Result:
+def run(
+    spark: SparkSession, config: CrawlConfig, fetch_log: DataFrame | None = None, sitemap_files: DataFrame | None = None, robots: str | None = None, rendered: DataFrame | None = None, visited: DataFrame | None = None, ask=None,
+    live: bool = False, state: sinks.Checkpoint | None = None,
+) -> Result:
     """Runs a crawl over a fetch log (url, final_url, http_status, content_type, body, response_time_ms, fail_status, error, fetched_at).
 
-    sitemap_files: (sitemap_url, content). robots: the text of the robots file. rendered: (url, html) of pages after their scripts ran."""
+    sitemap_files: (sitemap_url, content). robots: the text of the robots file. rendered: (url, html) of pages after their scripts ran.
+    live: what the log, the files and robots don't answer is fetched. state: takes each level's new answers as soon as it is done; a run that
+    is given these as its log goes on where the other broke off, and fetches nothing twice."""
     started = datetime.now(UTC)
     scope = Scope.of(config.start_url, config.allow_subdomains)
+    if live and robots is None and config.respect_robots:
+        body, why = fetch_bytes(f"{scope.origin}/robots.txt", config, 15.0)
+        robots = body.decode("utf-8", "replace") if body is not None else None
+        progress.event("robots", found=body is not None, error=why)
+    if fetch_log is None:
+        fetch_log = spark.createDataFrame([], FETCH_LOG.replace("\n", " "))
     rules = Robots(robots if config.respect_robots else None, config.start_url)
     none = spark.createDataFrame([], "sitemap_url string, content binary")
     if config.discover_sitemaps:
-        sitemaps, listed = discover_sitemaps(sitemap_files if sitemap_files is not None else none, config.start_url, scope, rules.sitemaps, config.max_sitemap_urls, config.strip_query_params)
+        sitemaps, listed = discover_sitemaps(sitemap_files if sitemap_files is not None else none, config.start_url, scope, rules.sitemaps, config.max_sitemap_urls, config.strip_query_params, (lambda keys: fetch_files(keys, config)) if live and sitemap_files is None else None)
     else:
         sitemaps, listed = spark.createDataFrame([], "sitemap_url string, source string, status string, url_count long, lastmod string, error string, nested boolean"), spark.createDataFrame([], "url string, lastmod string, sitemap_source string")
     listed, sitemaps = stored(listed, "sitemap-urls"), stored(sitemaps, "sitemaps")
     allowed = (lambda url: rules.allowed(url, config.user_agent)) if config.respect_robots and robots is not None else None
     log = fetch_log.withColumn("bytes", F.octet_length(F.coalesce("body", F.lit(""))))
-    got, events = crawl(log, listed, config, scope, lambda p: page_links(p, scope), allowed, visited)
+    progress.announce("DISCOVER", f"{listed.count()} URLs from sitemaps of {scope.hostname}")
+    done_pages, first_level = 0, max(state.levels(), default=-1) + 1 if state is not None else 0
+
+    def on_level(level: int, new: DataFrame | None, pages: DataFrame, scheduled: dict[str, int]) -> None:
+        nonlocal done_pages
+        done_pages = progress.announce_pages(pages, done_pages, sum(scheduled.values()))
+        if state is not None and new is not None:
+            state.save(first_level + level, fetched=new)
+            progress.event("level_saved", level=level, answers=new.count())
+
+    fetcher = (lambda urls: fetch(urls, config, rules.crawl_delay)) if live else None
+    got, events = crawl(log, listed, config, scope, lambda p: page_links(p, scope), allowed, visited, fetcher, on_level)
     got, events = stored(got, "crawled"), stored(events, "events")
     at = F.coalesce("final_url", "url")
     read = got.where((F.col("status") == "SUCCESS") & (F.col("page_kind") == "HTML"))
@@ -109,7 +135,7 @@ def run(spark: SparkSession, config: CrawlConfig, fetch_log: DataFrame, sitemap_
     pdfs = got.where((F.col("page_kind") == "PDF") & (F.col("status") == "SUCCESS")).select(at.alias("url"), file_name(at).alias("filename"), "depth", F.posexplode(F.split("body", "\f")).alias("p", "text"))
     texts = pdf_occurrences(pdfs.withColumn("page_number", F.col("p") + 1)).withColumn("seq", F.struct(F.lit(0).alias("a"), F.col("source_url").alias("u"), F.lit(2).alias("b"), F.col("pdf_page_number").alias("c")))
     occurrences = stored(found.unionByName(texts.select(*found.columns)), "occurrences")
-    fields = extract_pages(html).select(F.col("url").alias("f_url"), F.col("title").alias("page_title"), F.col("h1").alias("page_h1"), F.col("canonical_url").alias("canonical"), F.char_length("text").alias("visible_text_length"))
+    fields = extract_pages(html).select(F.col("url").alias("f_url"), F.col("title").alias("page_title"), F.col("h1").alias("page_h1"), F.col("canonical_url").alias("canonical"), F.char_length("text").alias("visible_text_length"), "parse_error")
     links = page_links(html, scope).groupBy(F.col("url").alias("l_url")).agg(F.count_if(F.col("kind") == "HTML").alias("link_count"), F.count_if(F.col("kind") == "PDF").alias("pdf_link_count"))
     numbers = occurrences.groupBy(F.col("source_url").alias("o_url")).agg(F.count(F.lit(1)).alias("phone_count"))
     rows = got.withColumn("at", at)
@@ -119,15 +145,18 @@ def run(spark: SparkSession, config: CrawlConfig, fetch_log: DataFrame, sitemap_
     pages = rows.select(
         F.col("url").alias("requested_url"), F.col("final_url"), "normalized_url", F.col("page_kind").alias("kind"), F.col("http_status").cast("int").alias("http_status"), "content_type",
         F.round("response_time_ms", 2).alias("response_time_ms"), F.col("fetched_at").alias("crawl_timestamp"), "page_title", "page_h1", resolve(at, F.col("canonical")).alias("canonical_url"), "depth",
-        "referring_url", "source", F.when(F.col("d_url").isNotNull(), "SUCCESS_RENDERED").otherwise(F.col("status")).alias("status"), F.col("page_error").alias("error"),
+        "referring_url", "source", F.when(F.col("parse_error").isNotNull(), "FAILED_PARSE").when(F.col("d_url").isNotNull(), "SUCCESS_RENDERED").otherwise(F.col("status")).alias("status"), F.coalesce("parse_error", "page_error").alias("error"),
         F.coalesce("visible_text_length", F.lit(0)).alias("visible_text_length"), F.coalesce("phone_count", F.lit(0)).cast("int").alias("phone_count"), F.coalesce("link_count", F.lit(0)).cast("int").alias("link_count"),
         F.coalesce("pdf_link_count", F.lit(0)).cast("int").alias("pdf_link_count"), F.col("d_url").isNotNull().alias("rendered_js"), F.col("why").alias("js_render_reason"), F.col("bytes").cast("long").alias("bytes"), none_text.alias("notes"), "seq",
     )
     pages = stored(pages, "pages")
+    progress.announce_phones(first_seen_labels(occurrences))
     missing = pages.where("js_render_reason is not null and not rendered_js").select(F.col("requested_url").alias("url"), F.lit("RENDER_UNAVAILABLE").alias("status"), F.col("js_render_reason").alias("detail"), "seq")
     events = events.unionByName(missing)
     phones = inventory.classify(inventory.unique_phones(occurrences))
     if config.classify_ai:
+        if ask is None:
+            progress.event("labels_skipped", reason="no key")
         phones = inventory.relabel(phones, ask)
     listed_seq = listed.withColumn("seq", F.struct(F.col("sitemap_source").alias("a"), F.col("url").alias("b")))
     urls = coverage.url_inventory(pages, listed_seq, events)

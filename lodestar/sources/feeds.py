@@ -7,7 +7,7 @@ import re
 import urllib.robotparser
 import xml.etree.ElementTree as ET
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,40 +68,49 @@ def read_sitemaps(files: DataFrame) -> DataFrame:
     return files.select("sitemap_url", "content").mapInPandas(run, "sitemap_source string, kind string, url string, lastmod string")
 
 
-def discover_sitemaps(files: DataFrame, start_url: str, scope: Scope, extra: list[str] | None = None, max_urls: int = 100_000, strip_params: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Follows index files from the usual places and from extra, a level at a time, over a table of fetched files (sitemap_url, content).
+def discover_sitemaps(
+    files: DataFrame, start_url: str, scope: Scope, extra: list[str] | None = None, max_urls: int = 100_000, strip_params: tuple[str, ...] = (), fetch: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Follows index files from the usual places and from extra, a level at a time, over a table of fetched files (sitemap_url, content),
+    or with fetch ((key) to (key, sitemap_url, content, error)) over the network.
 
-    Returns sitemap records and in-scope page URLs (at most max_urls, in order of level and file)."""
+    Returns sitemap records (SUCCESS, FAILED with its error, SKIPPED_DEPTH) and in-scope page URLs (at most max_urls, in order of level and file; 0 is no limit)."""
     spark = files.sparkSession
+    none = F.lit(None).cast("string")
     roots = [f"{scope.origin}/sitemap.xml", f"{scope.origin}/sitemap_index.xml", *(extra or [])]
-    keyed = files.withColumn("key", normalize_url(F.col("sitemap_url"), strip_params=strip_params))
-    frontier = spark.createDataFrame([(u, i) for i, u in enumerate(dict.fromkeys(roots))], "url string, ord int").select(normalize_url(F.col("url"), F.lit(start_url)).alias("key"), "ord")
-    seen, parts = None, []
-    for level in range(MAX_SITEMAP_DEPTH + 1):  # each level is written, so that none is read anew by those behind it
-        frontier = frontier.groupBy("key").agg(F.min("ord").alias("ord"))
+    keyed = files.select(normalize_url(F.col("sitemap_url"), strip_params=strip_params).alias("key"), "sitemap_url", "content", none.alias("error"))
+    frontier = spark.createDataFrame([(u, i) for i, u in enumerate(dict.fromkeys(roots))], "url string, ord int").select(normalize_url(F.col("url"), F.lit(start_url)).alias("key"), "ord", F.lit("seed").alias("source"))
+    seen, parts, records = None, [], []
+    for level in range(MAX_SITEMAP_DEPTH + 2):  # each level is written, so that none is read anew by those behind it
+        frontier = frontier.where("key is not null").groupBy("key").agg(F.min(F.struct("ord", "source")).alias("m")).select("key", "m.ord", "m.source")
         if seen is not None:
             frontier = frontier.join(seen, "key", "left_anti")
         frontier = stored(frontier, "sitemap-frontier")
-        here = keyed.join(frontier, "key")
-        rows = stored(read_sitemaps(here).join(here.select(F.col("sitemap_url").alias("sitemap_source"), "ord"), "sitemap_source").withColumn("level", F.lit(level)), "sitemap-level")
+        if frontier.isEmpty():
+            break
+        if level > MAX_SITEMAP_DEPTH:
+            records.append(frontier.select(F.col("key").alias("sitemap_url"), "source", F.lit("SKIPPED_DEPTH").alias("status"), none.alias("error"), F.lit(level).alias("level")))
+            break
+        there = keyed if fetch is None else stored(fetch(frontier.select("key")), "sitemap-files")
+        here = frontier.join(there, "key", "left")
+        lost = F.col("content").isNull()
+        records.append(here.select(F.coalesce("sitemap_url", "key").alias("sitemap_url"), "source", F.when(lost, "FAILED").otherwise("SUCCESS").alias("status"), F.when(lost, F.coalesce("error", F.lit("no file"))).alias("error"), F.lit(level).alias("level")))
+        read = here.where(~lost)
+        rows = stored(read_sitemaps(read).join(read.select(F.col("sitemap_url").alias("sitemap_source"), "ord"), "sitemap_source").withColumn("level", F.lit(level)), "sitemap-level")
         parts.append(rows)
         seen = frontier.select("key") if seen is None else seen.unionByName(frontier.select("key"))
-        children = rows.where("kind = 'child'").select(normalize_url(F.col("url"), F.col("sitemap_source")).alias("key"), F.lit(0).alias("ord"))
-        if children.limit(1).count() == 0:
-            break
-        frontier = children
-    found = parts[0]
+        frontier = rows.where("kind = 'child'").select(normalize_url(F.col("url"), F.col("sitemap_source")).alias("key"), F.lit(0).alias("ord"), F.col("sitemap_source").alias("source"))
+    found, told = parts[0], records[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    for r in records[1:]:
+        told = told.unionByName(r)
     pages = found.where("kind = 'page'").withColumn("full", resolve(F.col("sitemap_source"), F.col("url"))).where(scope.internal(F.col("full")))
-    urls = pages.orderBy("level", "ord", "sitemap_source", "full").limit(max_urls).select(F.col("full").alias("url"), "lastmod", "sitemap_source", "level")
+    pages = pages.orderBy("level", "ord", "sitemap_source", "full").limit(max_urls) if max_urls else pages
+    urls = pages.select(F.col("full").alias("url"), "lastmod", "sitemap_source", "level")
     counts = urls.groupBy(F.col("sitemap_source").alias("sitemap_url")).agg(F.count(F.lit(1)).alias("url_count"))
-    files_seen = found.select(F.col("sitemap_source").alias("sitemap_url"), "level").distinct()
-    records = files_seen.join(counts, "sitemap_url", "left").select(
-        "sitemap_url", F.lit("sitemap").alias("source"), F.lit("OK").alias("status"), F.coalesce("url_count", F.lit(0)).alias("url_count"),
-        F.lit(None).cast("string").alias("lastmod"), F.lit(None).cast("string").alias("error"), (F.col("level") > 0).alias("nested"),
-    )
-    return records, urls.drop("level")
+    out = told.join(counts, "sitemap_url", "left").select("sitemap_url", "source", "status", F.coalesce("url_count", F.lit(0)).alias("url_count"), none.alias("lastmod"), "error", (F.col("level") > 0).alias("nested"))
+    return out, urls.drop("level")
 
 
 class Robots:

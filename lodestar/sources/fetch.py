@@ -10,10 +10,8 @@ from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestar.config import CrawlConfig
-from lodestar.functions.url import host
 from lodestar.schemas import FETCH_LOG
 from lodestar.sources.feeds import gunzip, pdf_text
 
@@ -56,7 +54,7 @@ def fetch_one(url: str, config: CrawlConfig) -> tuple:
 
 
 def fetch(urls: DataFrame, config: CrawlConfig, delay: float | None = None) -> DataFrame:
-    """(url) to a fetch log. URLs of a host go to one task, which waits between requests; tasks run side by side."""
+    """(url) to a fetch log. URLs are dealt to as many tasks as the run may have requests at a time, each of which waits between its own."""
     pause = max(config.delay, delay or 0.0)
     names = [x.split()[0] for x in FETCH_LOG.replace("\n", " ").split(", ")]
 
@@ -69,4 +67,26 @@ def fetch(urls: DataFrame, config: CrawlConfig, delay: float | None = None) -> D
                 first = False
                 yield pd.DataFrame([fetch_one(url, config)], columns=names)
 
-    return urls.select("url").repartition(config.concurrency, host(F.col("url"))).mapInPandas(run, FETCH_LOG.replace("\n", " "))
+    return urls.select("url").repartition(config.concurrency, "url").mapInPandas(run, FETCH_LOG.replace("\n", " "))
+
+
+def fetch_bytes(url: str, config: CrawlConfig, timeout: float = 30.0) -> tuple[bytes | None, str | None]:
+    """The body of an answer, or why there is none."""
+    try:
+        request = urllib.request.Request(url, headers={"User-Agent": config.user_agent})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return answer.read(), None
+    except urllib.error.HTTPError as e:
+        return None, f"HTTP {e.code}"
+    except (OSError, ValueError) as e:
+        return None, str(getattr(e, "reason", e)) or type(e).__name__
+
+
+def fetch_files(urls: DataFrame, config: CrawlConfig) -> DataFrame:
+    """(key) to (key, sitemap_url, content, error): sitemap files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(u, u, *fetch_bytes(u, config)) for u in batch["key"]], columns=["key", "sitemap_url", "content", "error"])
+
+    return urls.select("key").repartition(config.concurrency, "key").mapInPandas(run, "key string, sitemap_url string, content binary, error string")

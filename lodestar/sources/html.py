@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import json
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import cache
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import collapse_ws
+from lodestar.functions.text import collapse_ws, strip
 
 # Content that isn't text, roots and frameworks of client-side pages, JSON-LD keys of numbers, blocks and names of containers.
 HIDDEN = ("script", "style", "template", "noscript")
@@ -23,11 +27,42 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+#: References that occur most, which needn't be looked up.
+USUAL = {"&amp;": "&", "&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
+
+
+@cache
+def _references() -> str:
+    """As JSON: the named references that end in a semicolon, and the numbers that stand for other characters than their own."""
+    named = {f"&{name}": chars for name, chars in html.entities.html5.items() if name.endswith(";")}
+    return json.dumps(named | {str(n): html.unescape(f"&#{n};") for n in (0, 13, *range(0x80, 0xA0))})
+
+
+def _decoded(entity: Column) -> Column:
+    """The character of one reference; an unknown name stays."""
+    digits = F.regexp_extract(entity, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    number = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    known = F.from_json(F.lit(_references()), "map<string,string>")  # a constant
+    odd = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    out = F.when(entity == "&amp;", "&")
+    for reference, char in USUAL.items():
+        out = out.when(entity == reference, char)
+    return out.when(entity.startswith("&#"), F.coalesce(F.try_element_at(known, number.cast("string")), F.when(odd, "\ufffd").otherwise(plain))).otherwise(F.coalesce(F.try_element_at(known, entity), entity))
+
+
 def decode_entities(c: Column) -> Column:
-    """The entities that occur in text most; the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """c with its character references, numeric and named, as characters. Native; texts without any are left alone."""
+
+    def decode(text: Column) -> Column:
+        between = F.split(text, ENTITY, -1)
+        found = F.transform(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)), _decoded)
+        return F.when(text.contains("&"), F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
+
+    return F.transform(F.array(c), decode)[0]  # c is computed once
 
 
 def without_hidden(html: Column) -> Column:
@@ -47,7 +82,7 @@ def _first(html: Column, tag: str) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.nullif(F.trim(decode_entities(_first(html, "title"))), F.lit(""))
+    return F.nullif(strip(decode_entities(_first(html, "title"))), F.lit(""))
 
 
 def h1(html: Column) -> Column:
@@ -168,34 +203,40 @@ def tree(html: str, hidden: bool = False) -> Node:
     b.feed(html)
     b.close()
     if not hidden:
-        for node in [b.root, *b.root.nodes()]:
-            node.children = [c for c in node.children if isinstance(c, str) or c.name not in HIDDEN]
+        prune(b.root)
     return b.root
 
 
+def prune(root: Node) -> None:
+    """Takes content that isn't text out of a tree."""
+    for node in [root, *root.nodes()]:
+        node.children = [c for c in node.children if isinstance(c, str) or c.name not in HIDDEN]
+
+
 def json_phones(value: object) -> list[str]:
-    """Values of phone keys, in document order; a phone key's object isn't descended into."""
-    if isinstance(value, list):
-        return [p for x in value for p in json_phones(x)]
+    """Values of phone keys, in document order and at any depth; a phone key's object isn't descended into."""
     out: list[str] = []
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            if str(key).lower() not in PHONE_KEYS:
-                out += json_phones(inner)
-            elif isinstance(inner, str):
-                out.append(inner)
-            elif isinstance(inner, list):
-                out += map(str, inner)
+    due = [("", value)]
+    while due:
+        key, here = due.pop()
+        if key.lower() in PHONE_KEYS:
+            out += [here] if isinstance(here, str) else map(str, here) if isinstance(here, list) else []
+        elif isinstance(here, list):
+            due += [("", x) for x in reversed(here)]
+        elif isinstance(here, dict):
+            due += [(str(k), x) for k, x in reversed(here.items())]
     return out
 
 
-def schema_phones(html: str) -> list[str]:
-    root, out = tree(html, hidden=True), []
+def schema_phones(page: str | Node) -> list[str]:
+    """Numbers of JSON-LD and microdata, of a page or of its tree with hidden content; markup that can't be read, or that is nested
+    more deeply than the parser goes, has none."""
+    root, out = page if isinstance(page, Node) else tree(page, hidden=True), []
     for node in root.nodes("script"):
         if "ld+json" in node.attrs.get("type", "").lower():
             try:
                 out += json_phones(json.loads(node.raw()))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
     for node in root.nodes():
         if node.attrs.get("itemprop", "").lower() in ("telephone", "faxnumber") and (value := node.attrs.get("content") or node.text()):
@@ -221,50 +262,69 @@ def regions(root: Node, tag: str, role: str) -> str:
     return " ".join(" ".join(x for x in chunks if x).split())
 
 
-def element_of(root: Node, raw: str) -> Node | None:
-    """Where a number stands: a tel: anchor with its digits, else the node of a text with it or with a common form of it."""
-    digits = re.sub(r"\D", "", raw)
-    for a in root.nodes("a"):
-        href = a.attrs.get("href", "")
-        if digits and href.lower().startswith("tel:") and re.sub(r"\D", "", href).endswith(digits[-10:]):
-            return a
-    forms = [raw.strip()]
-    if len(digits) >= 10:
-        area, exchange, line = digits[-10:-7], digits[-7:-4], digits[-4:]
-        forms += [f"{area}-{exchange}-{line}", f"({area}) {exchange}-{line}", f"{area}.{exchange}.{line}"]
-    for form in filter(None, forms):
-        for node in [root, *root.nodes()]:
-            if any(isinstance(c, str) and form in c for c in node.children):
-                return node
-    return None
-
-
-def heading_before(root: Node, node: Node | None) -> str | None:
-    """The nearest heading in front of a node that has text; an empty one sends the search to the parent."""
-    marks = [h for h in root.nodes(*HEADINGS)]
-    while node is not None:
-        ahead = [h for h in marks if h.at < node.at]
-        if ahead and (text := ahead[-1].text()):
-            return text
-        node = node.parent
-    return None
-
-
 def shorten(text: str, limit: int) -> str:
     flat = " ".join(text.split())
     return flat if len(flat) <= limit else flat[: limit - 1].rstrip() + "…"
 
 
-def container_of(root: Node, node: Node | None) -> tuple[str | None, str | None]:
-    """Text of the card, row or item around a node (or of the innermost block of a moderate length), and the heading in front."""
-    if node is None:
-        return None, None
-    heading, chosen, here = heading_before(root, node), None, node
-    while here is not None and here.name:
-        if here.name in CONTAINERS or CONTAINER_NAMES.search(f"{here.name} {here.attrs.get('class', '')} {here.attrs.get('id', '')}"):
-            chosen = here
-            break
-        if chosen is None and here.name in BLOCKS and 20 < len(here.text()) < 800:
-            chosen = here
-        here = here.parent
-    return (shorten(chosen.text(), 600) if chosen is not None else None), heading
+class Places:
+    """Where numbers stand on a page, and what stands around them: the tree is walked once, and each number is looked up."""
+
+    def __init__(self, root: Node) -> None:
+        self.links: list[tuple[str, Node]] = []
+        self.headings: list[Node] = []
+        self.owners: list[Node] = []
+        self.starts: list[int] = []
+        self.texts: dict[Node, str] = {}
+        chunks, size = [], 0
+        for node in (root, *root.nodes()):
+            if node.name == "a" and node.attrs.get("href", "").lower().startswith("tel:"):
+                self.links.append((re.sub(r"\D", "", node.attrs["href"]), node))
+            if node.name in HEADINGS:
+                self.headings.append(node)
+            for child in node.children:
+                if isinstance(child, str):
+                    self.owners.append(node)
+                    self.starts.append(size)
+                    chunks.append(child)
+                    size += len(child) + 1
+        self.whole = "\0".join(chunks)
+        self.order = [h.at for h in self.headings]
+
+    def text(self, node: Node) -> str:
+        if node not in self.texts:
+            self.texts[node] = node.text()
+        return self.texts[node]
+
+    def element(self, raw: str) -> Node | None:
+        """A tel: link with the number's digits, else the node that holds its text or the first of its usual spellings."""
+        digits = re.sub(r"\D", "", raw)
+        if digits and (link := next((n for d, n in self.links if d.endswith(digits[-10:])), None)) is not None:
+            return link
+        spellings = [raw.strip()]
+        if len(digits) > 9:
+            parts = digits[-10:-7], digits[-7:-4], digits[-4:]
+            spellings += [form.format(*parts) for form in ("{}-{}-{}", "({}) {}-{}", "{}.{}.{}")]
+        for form in spellings:
+            if form and (at := self.whole.find(form)) >= 0:
+                return self.owners[bisect_right(self.starts, at) - 1]
+        return None
+
+    def heading(self, node: Node | None) -> str | None:
+        """The nearest heading in front of a node; where it has no text, the nearest in front of the node's parent, and so on."""
+        while node is not None:
+            if (k := bisect_left(self.order, node.at)) and (text := self.text(self.headings[k - 1])):
+                return text
+            node = node.parent
+        return None
+
+    def container(self, node: Node | None) -> str | None:
+        """Text of the innermost card, row or item around a node, or else of the innermost block of a moderate length."""
+        block = None
+        while node is not None and node.name:
+            if node.name in CONTAINERS or CONTAINER_NAMES.search(" ".join((node.name, node.attrs.get("class", ""), node.attrs.get("id", "")))):
+                return shorten(self.text(node), 600)
+            if block is None and node.name in BLOCKS and 20 < len(self.text(node)) < 800:
+                block = node
+            node = node.parent
+        return None if block is None else shorten(self.text(block), 600)

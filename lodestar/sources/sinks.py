@@ -7,6 +7,7 @@ import os
 import zipfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import chain, islice
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,9 +114,7 @@ def _sheet(header: list[str], rows: Iterator[tuple], styled: bool, extra: list[t
         lines.append(f'<row r="{n}">{"".join(cells)}</row>')
 
     add(header, bold=True)
-    for row in rows:
-        if n >= SHEET_ROWS:
-            raise ValueError("the table has more rows than a sheet; export it as CSV")
+    for row in islice(rows, SHEET_ROWS - 1):
         add(row)
     last = n
     for head, part in extra:
@@ -134,19 +133,26 @@ def _sheet(header: list[str], rows: Iterator[tuple], styled: bool, extra: list[t
 
 
 def export_workbook(sheets: dict[str, DataFrame], path: str, under_summary: list[DataFrame] | None = None) -> str:
-    """An XLSX file of a sheet for each table, read a partition at a time; for results that fit a sheet, by its own limit."""
+    """An XLSX file of a sheet for each table, read a partition at a time; a table that is longer than a sheet goes on in further ones."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         names, kinds = [], []
-        for k, (name, df) in enumerate(sheets.items(), 1):
-            rows = flat(df)
-            extra = [(t.columns, [tuple(r) for r in t.collect()]) for t in under_summary or []] if name == "Summary" else []
-            xml, rels = _sheet(rows.columns, (tuple(r) for r in rows.toLocalIterator()), name != "Summary", extra)
-            z.writestr(f"xl/worksheets/sheet{k}.xml", xml)
-            if rels:
-                z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", rels)
-            names.append(f'<sheet name="{escape(name[:31])}" sheetId="{k}" r:id="rId{k}"/>')
-            kinds.append(k)
+        for name, df in sheets.items():
+            table = flat(df)
+            rows, part = (tuple(r) for r in table.toLocalIterator()), 0
+            head = next(rows, None)
+            while part == 0 or head is not None:
+                part += 1
+                k = len(kinds) + 1
+                extra = [(t.columns, [tuple(r) for r in t.collect()]) for t in under_summary or []] if name == "Summary" else []
+                xml, rels = _sheet(table.columns, chain([head] if head is not None else [], rows), name != "Summary", extra)
+                z.writestr(f"xl/worksheets/sheet{k}.xml", xml)
+                if rels:
+                    z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", rels)
+                title = name[:31] if part == 1 else f"{name[:25]} ({part})"
+                names.append(f'<sheet name="{escape(title)}" sheetId="{k}" r:id="rId{k}"/>')
+                kinds.append(k)
+                head = next(rows, None)
         main = "http://schemas.openxmlformats.org"
         head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}/spreadsheetml/2006/main" xmlns:r="{main}/officeDocument/2006/relationships"><sheets>{"".join(names)}</sheets></workbook>')
@@ -183,8 +189,11 @@ class Checkpoint:
         return sorted(int(p.getName().split("=")[1]) for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def load(self, name: str) -> DataFrame | None:
-        out = None
+        out, jvm = None, self.spark._jvm
         for level in self.levels():
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/level={level}/{name}")
+            if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                continue
             part = self.spark.read.parquet(f"{self.path}/level={level}/{name}")
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out

@@ -6,7 +6,7 @@ import json
 import os
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -21,7 +21,8 @@ HOSTED = {"max_pages": 40, "max_pdfs": 20, "max_depth": 4, "concurrency": 4, "ma
 HOSTED_TIMEOUT, HOSTED_DELAY = 12.0, 0.25
 VIEW_ROWS = {"phone_inventory": None, "phone_occurrences": 5000, "url_inventory": 8000, "crawl_errors": None}
 LOG_LINES, LOG_KEPT = 200, 3000
-FILES = ("phone_inventory.csv", "phone_occurrences.csv", "url_inventory.csv", "crawl_report.csv", "crawl_errors.csv", "phone_inventory.xlsx", "crawl_report.json", "crawl_report.md")
+FILES = ("phone_inventory.csv", "phone_occurrences.csv", "url_inventory.csv", "crawl_report.csv", "crawl_errors.csv", "phone_inventory.xlsx", "crawl_report.json", "crawl_report.md", "crawl.log")
+POLL_MS = 1500
 
 
 def hosted(config: CrawlConfig) -> CrawlConfig:
@@ -128,19 +129,98 @@ class Jobs:
     def find(self, job_id: str) -> str:
         return self.jobs[job_id].output_dir if job_id in self.jobs else self.safe(job_id)
 
-    def file(self, job_id: str, name: str) -> str:
+    def file(self, job_id: str, name: str) -> File:
+        """One of a run's files; the parts of a table are sent as one."""
         if name not in FILES:
             raise ValueError("no such file")
-        return f"{self.find(job_id)}/{name}"
+        path = f"{self.find(job_id)}/{name}"
+        parts = sorted(f"{path}/{x}" for x in os.listdir(path) if x.startswith("part-")) if os.path.isdir(path) else [path]
+        if not all(os.path.isfile(x) for x in parts):
+            raise FileNotFoundError(path)
+        return File(name, tuple(parts))
+
+
+@dataclass(frozen=True)
+class File:
+    """Paths whose bytes are sent one after the other; of CSV parts the header once."""
+
+    name: str
+    parts: tuple[str, ...]
+
+    def chunks(self, size: int = 1 << 20) -> Iterator[bytes]:
+        for k, path in enumerate(self.parts):
+            with open(path, "rb") as f:
+                if k and self.name.endswith(".csv"):
+                    f.readline()
+                while data := f.read(size):
+                    yield data
+
+
+def execute_with(spark: SparkSession) -> Callable[[CrawlConfig, Job], dict[str, str]]:
+    """What a job does: a live run, whose files go to the job's folder and whose progress goes to its log."""
+
+    def execute(config: CrawlConfig, job: Job) -> dict[str, str]:
+        from lodestar import progress
+        from lodestar.session import run
+
+        with progress.listening(lambda tag, message: job.log(f"[{tag}] {message}")):
+            result = run(spark, config, live=True)
+            result.export(config.output_dir)
+        return {r["metric"]: r["value"] for r in result.summary().orderBy("ord").collect()}
+
+    return execute
+
+
+#: The dashboard: a form, the run's state, and a table that is read again while the run goes on. All values are escaped.
+PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>lodestar</title><style>body{font:14px sans-serif;margin:2em}td,th{padding:2px 8px;text-align:left;border-bottom:1px solid #ddd}pre{background:#f4f4f4;padding:8px}</style></head>
+<body><h1>Phone inventory</h1><form id="start"><input name="start_url" placeholder="https://example.org" size="40"><button>Start</button></form><p id="state"></p>
+<p id="files"></p><nav>TABS</nav><div id="rows"></div><pre id="log"></pre><script>
+const clean = v => String(v ?? "").replace(/[&<>"]/g, c => "&#" + c.charCodeAt(0) + ";");
+const at = id => document.getElementById(id);
+let run = location.hash.slice(1), tab = "inventory";
+async function rows() {
+  const got = await fetch(`/api/crawls/${run}/${tab}`), list = got.ok ? await got.json() : [], names = Object.keys(list[0] || {});
+  at("rows").innerHTML = "<table><tr>" + names.map(n => `<th>${clean(n)}</th>`).join("") + "</tr>" + list.map(r => "<tr>" + names.map(n => `<td>${clean(r[n])}</td>`).join("") + "</tr>").join("") + "</table>";
+}
+async function poll() {
+  if (!run) return;
+  const got = await fetch(`/api/crawls/${run}`);
+  if (!got.ok) return;
+  const job = await got.json(), live = job.status === "running" || job.status === "queued";
+  at("state").textContent = `${job.start_url}: ${job.status} ${job.error || ""}`;
+  at("log").textContent = (job.logs || []).join("\n");
+  at("files").innerHTML = live ? "" : FILES.map(f => `<a href="/api/crawls/${encodeURIComponent(run)}/files/${f}">${f}</a>`).join(" ");
+  if (!live) await rows();
+  if (live) setTimeout(poll, POLL_MS);
+}
+at("start").onsubmit = async e => {
+  e.preventDefault();
+  const got = await fetch("/api/crawls", {method: "POST", body: JSON.stringify(Object.fromEntries(new FormData(e.target)))}), job = await got.json();
+  if (!got.ok) { at("state").textContent = job.error; return; }
+  location.hash = run = job.id;
+  poll();
+};
+document.querySelectorAll("nav button").forEach(b => b.onclick = () => { tab = b.name; rows(); });
+poll();
+</script></body></html>"""
+
+
+def page() -> str:
+    from html import escape
+
+    tabs = "".join(f'<button name="{escape(t)}">{escape(t)}</button> ' for t in TABLES)
+    return PAGE.replace("TABS", tabs).replace("FILES", json.dumps(FILES), 1).replace("POLL_MS", str(POLL_MS))
 
 
 TABLES = {"inventory": "phone_inventory", "occurrences": "phone_occurrences", "coverage": "url_inventory", "errors": "crawl_errors"}
 
 
 def handle(jobs: Jobs, spark: SparkSession | None, method: str, path: str, body: dict | None = None) -> tuple[int, object]:
-    """Status and JSON of a request."""
+    """Status and answer of a request: JSON, a File, or the dashboard as text."""
     parts = [p for p in path.partition("?")[0].split("/") if p]
     try:
+        if method == "GET" and not parts:
+            return 200, page()
         if method == "GET" and parts == ["api", "health"]:
             return 200, {"status": "ok"}
         if method == "GET" and parts == ["api", "runs"]:
@@ -156,7 +236,7 @@ def handle(jobs: Jobs, spark: SparkSession | None, method: str, path: str, body:
             if len(parts) == 4 and parts[3] in TABLES:
                 return 200, jobs.table(spark, parts[2], TABLES[parts[3]])
             if len(parts) == 5 and parts[3] == "files":
-                return 200, {"path": jobs.file(parts[2], parts[4])}
+                return 200, jobs.file(parts[2], parts[4])
     except Busy as e:
         return 409, {"error": str(e)}
     except (ValueError, TypeError) as e:
@@ -177,9 +257,16 @@ def serve(jobs: Jobs, spark: SparkSession | None, host: str = "127.0.0.1", port:
             except ValueError:
                 body = None
             status, value = handle(jobs, spark, method, self.path, body)
-            data = json.dumps(value, default=str).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            if isinstance(value, File):
+                self.send_header("Content-Type", "application/octet-stream")
+                self.send_header("Content-Disposition", f'attachment; filename="{value.name}"')
+                self.end_headers()
+                for chunk in value.chunks():
+                    self.wfile.write(chunk)
+                return
+            data = value.encode() if isinstance(value, str) else json.dumps(value, default=str).encode()
+            self.send_header("Content-Type", "text/html; charset=utf-8" if isinstance(value, str) else "application/json")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

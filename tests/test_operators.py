@@ -6,6 +6,7 @@ import gzip
 import json
 import threading
 import time
+import urllib.error
 import urllib.request
 import zipfile
 from datetime import datetime
@@ -15,12 +16,13 @@ import pytest
 from pyspark.sql import functions as F
 from test_functions import SAMPLE
 
-from lodestar import schemas, web
+from lodestar import ask, progress, schemas, web
 from lodestar.cli import config_of, parser
-from lodestar.config import EXCLUDE_PATTERNS, CrawlConfig
+from lodestar.config import EXCLUDE_PATTERNS, CrawlConfig, default_output_dir
 from lodestar.functions import phone
 from lodestar.functions.url import Scope
 from lodestar.operators import coverage, inventory
+from lodestar.operators import occurrences as operators
 from lodestar.operators.occurrences import html_occurrences, page_links, pdf_occurrences, reconcile, text_candidates
 from lodestar.plans import frontier
 from lodestar.queries import phone_hint_documents
@@ -35,8 +37,8 @@ NAMES = [x.split()[0] for x in OCC.split(", ")]
 
 def occurrence(seq: int, **changes) -> tuple:
     base = {
-        "occurrence_id": str(seq), "raw_phone": "(614) 555-1234", "normalized_phone": "614-555-1234", "e164_phone": "+16145551234", "validation_status": "VALID", "source_url": "https://www.example.edu/a", "final_url": "https://www.example.edu/a",
-        "source_type": "HTML", "page_title": "Admissions", "context": "Jane Smith Director of Admissions 614-555-1234", "nearest_heading": "Office of Admissions", "extraction_method": "TEXT", "js_confirmed": False, "seq": seq,
+        "occurrence_id": str(seq), "raw_phone": "(415) 555-0142", "normalized_phone": "415-555-0142", "e164_phone": "+14155550142", "validation_status": "VALID", "source_url": "https://www.museum.test/a", "final_url": "https://www.museum.test/a",
+        "source_type": "HTML", "page_title": "Registrar", "context": "Noor Petrov, registrar, 415-555-0142", "nearest_heading": "Registrar and collections", "extraction_method": "TEXT", "js_confirmed": False, "seq": seq,
     }
     base |= changes
     return tuple(base.get(n) for n in NAMES)
@@ -47,13 +49,13 @@ def occurrences(spark, *rows):
 
 
 def test_inventory(spark):
-    b = {"source_url": "https://www.example.edu/b", "final_url": "https://www.example.edu/b"}
-    got = inventory.classify(inventory.unique_phones(occurrences(spark, {}, {"raw_phone": "614.555.1234"} | b, {}))).collect()
+    b = {"source_url": "https://www.museum.test/b", "final_url": "https://www.museum.test/b"}
+    got = inventory.classify(inventory.unique_phones(occurrences(spark, {}, {"raw_phone": "415.555.0142"} | b, {}))).collect()
     assert len(got) == 1
     r = got[0]
-    assert (r["occurrence_count"], r["source_count"], r["unique_url_count"], r["source_urls"]) == (3, 2, 2, ["https://www.example.edu/a", "https://www.example.edu/b"])
-    assert (r["classification"], r["classification_source"], r["classification_confidence"], r["number_kind"]) == ("Admissions", "RULES", 0.7, "UNKNOWN")
-    assert r["departments_or_context"].startswith("Admissions: Jane Smith") and r["first_seen_url"] == "https://www.example.edu/a"
+    assert (r["occurrence_count"], r["source_count"], r["unique_url_count"], r["source_urls"]) == (3, 2, 2, ["https://www.museum.test/a", "https://www.museum.test/b"])
+    assert (r["classification"], r["classification_source"], r["classification_confidence"], r["number_kind"]) == ("Registrar", "RULES", 0.7, "UNKNOWN")
+    assert r["departments_or_context"].startswith("Registrar: Noor Petrov") and r["first_seen_url"] == "https://www.museum.test/a"
     two = inventory.unique_phones(occurrences(spark, {}, {"extension": "321"})).collect()
     assert {r["extension"] for r in two} == {None, "321"}
     assert inventory.unique_phones(occurrences(spark)).count() == 0
@@ -64,11 +66,11 @@ def test_best_row_and_caps(spark):
     rows += [{"context": "c", "page_title": "title 0", "national_format": "x"}, {"context": "c", "national_format": "y", "final_url": ""}]
     r = inventory.unique_phones(occurrences(spark, *rows)).first()
     assert (r["validation_status"], r["national_format"]) == ("VALID", "x")
-    assert r["sample_contexts"] == [f"context {i}" for i in range(8)] and r["page_titles"] == [f"title {i}" for i in range(12)] and r["nearest_headings"] == ["h", "Office of Admissions"]
+    assert r["sample_contexts"] == [f"context {i}" for i in range(8)] and r["page_titles"] == [f"title {i}" for i in range(12)] and r["nearest_headings"] == ["h", "Registrar and collections"]
 
 
 def test_classification(spark):
-    texts = [("Phone and fax 614", "FAX", "Unknown"), ("emergency library", "UNKNOWN", "Emergency"), ("the cooperator calls", "UNKNOWN", "General Information"), ("call us", "VOICE", "Unknown")]
+    texts = [("Phone and fax 415", "FAX", "Unknown"), ("emergency library", "UNKNOWN", "Emergency"), ("the cooperator calls", "UNKNOWN", "General Information"), ("call us", "VOICE", "Unknown")]
     df = spark.createDataFrame([(t,) for t, _, _ in texts], "t string").select("t", inventory.kind_of(F.lower("t")), F.coalesce(inventory.label_of(F.lower("t")), F.lit("Unknown")))
     assert [tuple(r) for r in df.collect()] == texts
 
@@ -84,7 +86,7 @@ def test_relabel(spark):
 
     got = {r["e164_phone"]: r for r in inventory.relabel(phones, ask).collect()}
     assert (got["+1"]["category"], got["+1"]["number_kind"], got["+1"]["classification_confidence"], got["+1"]["classification_source"]) == ("Bursar", "FAX", 0.5, "AI")
-    assert got["+2"]["category"] == "Unknown" and got["+16145551234"]["category"] == "Admissions"
+    assert got["+2"]["category"] == "Unknown" and got["+14155550142"]["category"] == "Registrar"
 
 
 def test_top_phones_and_order(spark):
@@ -99,7 +101,7 @@ def test_reconcile(spark):
     rendered = occurrences(spark, {"context": "a longer context", "nearest_heading": ""}, {"e164_phone": "+2", "source_type": "HTML_TEL_LINK", "extraction_method": "TEL_LINK"}, {"context": "the longest of all contexts", "nearest_heading": "h"})
     got = {r["e164_phone"]: r for r in reconcile(static, rendered).collect()}
     assert len(got) == 3
-    r = got["+16145551234"]
+    r = got["+14155550142"]
     assert (r["js_confirmed"], r["context"], r["source_type"], r["nearest_heading"]) == (True, "the longest of all contexts", "HTML", "h")
     assert (got["+2"]["source_type"], got["+2"]["extraction_method"], got["+2"]["js_confirmed"]) == ("JAVASCRIPT_RENDERED", "JS_TEXT", False)
     assert (got["+1"]["js_confirmed"], got["+1"]["context"]) == (False, "only static")
@@ -152,20 +154,32 @@ def test_expand(spark):
 
 
 def test_sitemaps(spark):
-    leaf = b'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><!-- c --><url><loc> https://www.example.edu/ </loc><lastmod>2026-01-01</lastmod></url><url><loc>https://other.edu/skip</loc></url><url><loc>/relative-page</loc></url></urlset>'
-    index = b"<sitemapindex><sitemap><loc>https://www.example.edu/sitemap-pages.xml</loc></sitemap><sitemap><loc>/sitemap-staff.xml</loc></sitemap></sitemapindex>"
-    assert feeds.parse_sitemap("x", gzip.compress(leaf))[1][0] == ("https://www.example.edu/", "2026-01-01")
-    assert feeds.parse_sitemap("x", index) == (["https://www.example.edu/sitemap-pages.xml", "/sitemap-staff.xml"], [])
+    leaf = b'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><!-- c --><url><loc> https://www.museum.test/ </loc><lastmod>2026-01-01</lastmod></url><url><loc>https://other.test/out</loc></url><url><loc>/near</loc></url></urlset>'
+    index = b"<sitemapindex><sitemap><loc>https://www.museum.test/sitemap-rooms.xml</loc></sitemap><sitemap><loc>/sitemap-people.xml</loc></sitemap></sitemapindex>"
+    assert feeds.parse_sitemap("x", gzip.compress(leaf))[1][0] == ("https://www.museum.test/", "2026-01-01")
+    assert feeds.parse_sitemap("x", index) == (["https://www.museum.test/sitemap-rooms.xml", "/sitemap-people.xml"], [])
     assert feeds.parse_sitemap("x", b"<urlset><loc>a</loc>") == ([], []) and feeds.parse_sitemap("x", b"<urlset><loc>a</loc></urlset>") == ([], [("a", None)])
     assert feeds.gunzip("x.gz", b"plain") == b"plain"
-    files = spark.createDataFrame([("https://www.example.edu/sitemap.xml", bytearray(index)), ("https://www.example.edu/sitemap-pages.xml", bytearray(leaf)), ("https://www.example.edu/sitemap-staff.xml", bytearray(b"<bad"))], "sitemap_url string, content binary")
-    scope = Scope.of("https://www.example.edu")
+    files = spark.createDataFrame([("https://www.museum.test/sitemap.xml", bytearray(index)), ("https://www.museum.test/sitemap-rooms.xml", bytearray(leaf)), ("https://www.museum.test/sitemap-people.xml", bytearray(b"<bad"))], "sitemap_url string, content binary")
+    scope = Scope.of("https://www.museum.test")
     records, urls = feeds.discover_sitemaps(files, scope.start_url, scope)
-    assert {r["url"] for r in urls.collect()} == {"https://www.example.edu/", "https://www.example.edu/relative-page"}
-    assert {(r["sitemap_url"][-9:], r["url_count"], r["nested"]) for r in records.collect()} >= {("pages.xml", 2, True)}
+    assert {r["url"] for r in urls.collect()} == {"https://www.museum.test/", "https://www.museum.test/near"}
+    told = {r["sitemap_url"].rpartition("/")[2]: (r["source"].rpartition("/")[2], r["status"], r["url_count"], r["error"], r["nested"]) for r in records.collect()}
+    assert told == {
+        "sitemap.xml": ("seed", "SUCCESS", 0, None, False), "sitemap_index.xml": ("seed", "FAILED", 0, "no file", False),
+        "sitemap-rooms.xml": ("sitemap.xml", "SUCCESS", 2, None, True), "sitemap-people.xml": ("sitemap.xml", "SUCCESS", 0, None, True),
+    }
     assert feeds.discover_sitemaps(files, scope.start_url, scope, max_urls=1)[1].count() == 1
 
 
+def test_sitemaps_that_nest_too_deeply(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "MAX_SITEMAP_DEPTH", 1)
+    index = lambda child: bytearray(f"<sitemapindex><sitemap><loc>{child}</loc></sitemap></sitemapindex>".encode())
+    files = spark.createDataFrame([("https://x.test/sitemap.xml", index("/b.xml")), ("https://x.test/b.xml", index("/c.xml")), ("https://x.test/c.xml", index("/b.xml"))], "sitemap_url string, content binary")
+    got = {r["sitemap_url"][15:]: r["status"] for r in feeds.discover_sitemaps(files, "https://x.test/", Scope.of("https://x.test"))[0].collect()}
+    assert got == {"sitemap.xml": "SUCCESS", "sitemap_index.xml": "FAILED", "b.xml": "SUCCESS", "c.xml": "SKIPPED_DEPTH"}
+
+
 def test_robots(spark):
     rules = feeds.Robots("User-agent: *\nAllow: /\nDisallow: /secret\nCrawl-delay: 1\ncrawl-delay: 2.5\nSitemap: https://x.edu/s.xml\n")
     assert rules.sitemaps == ["https://x.edu/s.xml"] and rules.crawl_delay == 2.5
@@ -175,38 +189,38 @@ def test_robots(spark):
 
 
 def test_pdf(spark):
-    rows = spark.createDataFrame([("directory.pdf", ["Directory — Call (614) 555-1234 ext 542 for Admissions."]), ("scanned.pdf", [" "]), ("none.pdf", [])], "filename string, pages array<string>")
+    rows = spark.createDataFrame([("plan.pdf", ["Plan: ask (415) 555-0142 ext 542 for keys."]), ("scanned.pdf", [" "]), ("none.pdf", [])], "filename string, pages array<string>")
     got = {r["filename"]: r for r in feeds.pdf_pages(rows).collect()}
-    assert got["directory.pdf"]["page_count"] == 1 and got["scanned.pdf"]["text_unavailable"] and got["none.pdf"]["page_count"] == 0
+    assert got["plan.pdf"]["page_count"] == 1 and got["scanned.pdf"]["text_unavailable"] and got["none.pdf"]["page_count"] == 0
     found = pdf_occurrences(feeds.pdf_pages(rows).where("text is not null").withColumn("url", F.concat(F.lit("https://x.edu/"), "filename"))).collect()
-    assert [(r["e164_phone"], r["extension"], r["pdf_page_number"], r["source_type"]) for r in found] == [("+16145551234", "542", 1, "PDF")]
-    assert feeds.pdf_text(b"%PDF stream\nBT (Call \\(614\\) 555-1234) Tj ET\nendstream") == ["Call (614) 555-1234"]
+    assert [(r["e164_phone"], r["extension"], r["pdf_page_number"], r["source_type"]) for r in found] == [("+14155550142", "542", 1, "PDF")]
+    assert feeds.pdf_text(b"%PDF stream\nBT (Ask \\(415\\) 555-0142) Tj ET\nendstream") == ["Ask (415) 555-0142"]
 
 
 def site(spark):
-    home = '<html><body><h1>Example University</h1><p>Call the switchboard at (614) 555-0100</p><a href="/admissions/staff">s</a><a href="/login">l</a><a href="https://other.edu/contact">o</a><a href="/gone">g</a></body></html>'
-    rows = [("https://www.example.edu/", 200, "text/html", home), ("https://www.example.edu/admissions/staff", 200, "text/html; charset=utf-8", SAMPLE), ("https://www.example.edu/secret", 200, "text/html", "<p>614-555-9999</p>"), ("https://www.example.edu/gone", 404, "text/plain", "missing")]
+    home = '<html><body><h1>Harbour Museum</h1><p>Ring the front desk at (415) 555-0101</p><a href="/visit/people">s</a><a href="/login">l</a><a href="https://other.test/about">o</a><a href="/gone">g</a></body></html>'
+    rows = [("https://www.museum.test/", 200, "text/html", home), ("https://www.museum.test/visit/people", 200, "text/html; charset=utf-8", SAMPLE), ("https://www.museum.test/secret", 200, "text/html", "<p>415-555-9999</p>"), ("https://www.museum.test/gone", 404, "text/plain", "missing")]
     log = spark.createDataFrame([(u, u, s, t, b, 1.5, None, None, datetime(2026, 1, 1)) for u, s, t, b in rows], schemas.FETCH_LOG.replace("\n", " "))
-    xml = "<urlset><url><loc>https://www.example.edu/</loc></url><url><loc>https://www.example.edu/admissions/staff</loc></url></urlset>"
-    return log, spark.createDataFrame([("https://www.example.edu/sitemap.xml", bytearray(xml.encode()))], "sitemap_url string, content binary"), "User-agent: *\nAllow: /\nDisallow: /secret\nSitemap: /sitemap.xml\n"
+    xml = "<urlset><url><loc>https://www.museum.test/</loc></url><url><loc>https://www.museum.test/visit/people</loc></url></urlset>"
+    return log, spark.createDataFrame([("https://www.museum.test/sitemap.xml", bytearray(xml.encode()))], "sitemap_url string, content binary"), "User-agent: *\nAllow: /\nDisallow: /secret\nSitemap: /sitemap.xml\n"
 
 
 @pytest.fixture(scope="module")
 def result(spark):
     log, files, robots = site(spark)
-    return run(spark, CrawlConfig("https://www.example.edu/", max_pages=10, max_pdfs=0, max_depth=3, include_pdfs=False, render_js="off"), log, files, robots)
+    return run(spark, CrawlConfig("https://www.museum.test/", max_pages=10, max_pdfs=0, max_depth=3, include_pdfs=False, render_js="off"), log, files, robots)
 
 
 def test_run(result):
     crawled = {r["normalized_url"]: r["status"] for r in result.pages.collect()}
-    assert crawled == {"https://www.example.edu/": "SUCCESS", "https://www.example.edu/admissions/staff": "SUCCESS", "https://www.example.edu/gone": "FAILED_HTTP"}
+    assert crawled == {"https://www.museum.test/": "SUCCESS", "https://www.museum.test/visit/people": "SUCCESS", "https://www.museum.test/gone": "FAILED_HTTP"}
     phones = {r["e164_phone"]: r for r in result.phones.collect()}
-    assert {"+16145550100", "+16145551234"} <= set(phones) and any("Jane Smith" in c for c in phones["+16145551234"]["sample_contexts"])
-    statuses = {r["normalized_url"].removeprefix("https://www.example.edu"): r["coverage_status"] for r in result.url_inventory.collect()}
-    assert statuses == {"/": "SITEMAP_AND_CRAWLED", "/admissions/staff": "SITEMAP_AND_CRAWLED", "/gone": "DISCOVERED_BUT_FAILED", "/login": "EXCLUDED"}
+    assert {"+14155550101", "+14155550142"} <= set(phones) and any("Noor Petrov" in c for c in phones["+14155550142"]["sample_contexts"])
+    statuses = {r["normalized_url"].removeprefix("https://www.museum.test"): r["coverage_status"] for r in result.url_inventory.collect()}
+    assert statuses == {"/": "SITEMAP_AND_CRAWLED", "/visit/people": "SITEMAP_AND_CRAWLED", "/gone": "DISCOVERED_BUT_FAILED", "/login": "EXCLUDED"}
     n = result.occurrences.count()
     assert sum(r["occurrence_count"] for r in result.phones.collect()) == n
-    methods = {r["extraction_method"] for r in result.occurrences.where("e164_phone = '+16145551234'").collect()}
+    methods = {r["extraction_method"] for r in result.occurrences.where("e164_phone = '+14155550142'").collect()}
     assert methods == {"TEL_LINK", "TEXT"}
 
 
@@ -216,44 +230,44 @@ def test_export(result, tmp_path, spark):
     payload = json.loads((tmp_path / "crawl_report.json").read_text())
     assert payload["pages"] == 3 and payload["status_counts"] == {"FAILED_HTTP": 1, "SUCCESS": 2} and "# Crawl coverage report" in (tmp_path / "crawl_report.md").read_text()
     metrics = feeds.read_metrics(spark, f"{tmp_path}/crawl_report.csv")
-    assert metrics["URLs crawled"] == "2" and metrics["Domain"] == "example.edu"
+    assert metrics["URLs crawled"] == "2" and metrics["Domain"] == "museum.test"
     rows = feeds.read_csv(spark, f"{tmp_path}/phone_inventory.csv", "normalized_phone string, e164_phone string", 2)
     assert rows.count() == 2
     with zipfile.ZipFile(paths["workbook"]) as z:
-        assert z.testzip() is None and "Phone Inventory" in z.read("xl/workbook.xml").decode() and "+16145551234" in z.read("xl/worksheets/sheet2.xml").decode()
+        assert z.testzip() is None and "Phone Inventory" in z.read("xl/workbook.xml").decode() and "+14155550142" in z.read("xl/worksheets/sheet2.xml").decode()
 
 
 def test_resume(spark, result):
     log, files, robots = site(spark)
-    again = run(spark, CrawlConfig("https://www.example.edu/", max_pages=10, render_js="off", resume=True), log, files, robots, visited=visited_of(result.pages))
+    again = run(spark, CrawlConfig("https://www.museum.test/", max_pages=10, render_js="off", resume=True), log, files, robots, visited=visited_of(result.pages))
     assert again.pages.count() == 0
 
 
 def test_rendering(spark):
     log, files, robots = site(spark)
-    shown = spark.createDataFrame([("https://www.example.edu/", "<html><body><p>Call the switchboard of the university, all day and night, at (614) 555-0100 or (614) 555-7777</p></body></html>")], "url string, html string")
-    got = run(spark, CrawlConfig("https://www.example.edu/", render_js="always"), log, files, robots, rendered=shown)
+    shown = spark.createDataFrame([("https://www.museum.test/", "<html><body><p>Ring the front desk of the museum, in the morning and at night, at (415) 555-0101 or (415) 555-7777</p></body></html>")], "url string, html string")
+    got = run(spark, CrawlConfig("https://www.museum.test/", render_js="always"), log, files, robots, rendered=shown)
     status = {r["normalized_url"][23:]: r["status"] for r in got.pages.collect()}
-    assert status["/"] == "SUCCESS_RENDERED" and status["/admissions/staff"] == "SUCCESS"
+    assert status["/"] == "SUCCESS_RENDERED" and status["/visit/people"] == "SUCCESS"
     by = {(r["source_url"][23:], r["e164_phone"]): r for r in got.occurrences.collect()}
-    assert by["/", "+16145550100"]["js_confirmed"] and by["/", "+16145557777"]["source_type"] == "JAVASCRIPT_RENDERED"
+    assert by["/", "+14155550101"]["js_confirmed"] and by["/", "+14155557777"]["source_type"] == "JAVASCRIPT_RENDERED"
     assert {r["status"] for r in got.events.collect()} >= {"RENDER_UNAVAILABLE"}
 
 
 def test_occurrences_of_a_page(spark):
     df = spark.createDataFrame([("https://x.edu/a", "https://x.edu/a", 200, None, datetime(2026, 1, 1), SAMPLE, 0)], "url string, final_url string, http_status int, referring_url string, at timestamp, html string, depth int")
     rows = html_occurrences(df).orderBy("seq").collect()
-    assert [(r["extraction_method"], r["e164_phone"], r["extension"]) for r in rows][:2] == [("TEL_LINK", "+16145551234", None), ("SCHEMA", "+16145550199", None)]
-    assert ("TEXT", "+16145550100", "321") in [(r["extraction_method"], r["e164_phone"], r["extension"]) for r in rows]
+    assert [(r["extraction_method"], r["e164_phone"], r["extension"]) for r in rows][:2] == [("TEL_LINK", "+14155550142", None), ("SCHEMA", "+14155550188", None)]
+    assert ("TEXT", "+14155550101", "77") in [(r["extraction_method"], r["e164_phone"], r["extension"]) for r in rows]
     assert len({r["occurrence_id"] for r in rows}) == len(rows) and rows[0]["nearest_container"] == rows[0]["context"]
     links = page_links(df, Scope.of("https://x.edu")).collect()
-    assert [(r["link"], r["kind"]) for r in links] == [("https://x.edu/admissions/viewbook.pdf", "PDF")]
+    assert [(r["link"], r["kind"]) for r in links] == [("https://x.edu/files/floor-plan.pdf", "PDF")]
 
 
 def test_rows_that_skip_python_have_no_candidates(spark):
     """Wide gaps, digits that aren't ASCII, and white space that Java doesn't know."""
     gaps = ["", "-", ".", " " * 5, "\t" * 9, "\n\n", "\x1c", "\xa0\u3000", " - . - "]
-    texts = [f"call {a}{g}{b}{h}{c} now" for g in gaps for h in gaps for a, b, c in (("614", "555", "1234"), ("(614)", "555", "1234"), ("٦١٤", "٥٥٥", "١٢٣٤"))] + ["no number", "12 34", ""]
+    texts = [f"call {a}{g}{b}{h}{c} now" for g in gaps for h in gaps for a, b, c in (("415", "555", "1234"), ("(415)", "555", "1234"), ("٦١٤", "٥٥٥", "١٢٣٤"))] + ["no number", "12 34", ""]
     texts = ["+44 20 7946 0958", "at +(353) 1 234 5678", *texts]
     want = sorted((i, n.start, n.raw) for i, t in enumerate(texts) for n in phone.scan(t))
     got = text_candidates(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).select("i", "c.start", "c.raw").collect()
@@ -262,7 +276,7 @@ def test_rows_that_skip_python_have_no_candidates(spark):
 
 def test_hints_count_for_each_candidate(spark, tmp_path):
     """Brute force: the 40 characters on both sides of each candidate, which may hold other candidates and line ends."""
-    a, b = "614-555-1234", "614-555-9999"
+    a, b = "415-555-0142", "415-555-9999"
     texts = [f"{a}{' .' * 17} {b}{' .' * 15}invoice", f"invoice\n{a}\n{b}", f"{a} {b} {a} zip code", f"{a}\n\n\nISBN", f"{'x ' * 30}{a}{' .' * 20} year", f"😀 year {a}", a, "year", None]
     want = {}
     for i, t in enumerate(texts):
@@ -287,7 +301,7 @@ def test_checkpoint(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
-    page = "<html><title>T</title><body>Call 614-555-1234 now</body></html>"
+    page = "<html><title>T</title><body>Call 415-555-0142 now</body></html>"
     rows = [("https://x.edu/a", page, datetime(2026, 1, 1)), ("https://x.edu/b", page, datetime(2026, 1, 1))]
     spark.createDataFrame(rows, stream.PAGES).write.parquet(f"{tmp_path}/in/1")
     for _ in range(2):
@@ -295,7 +309,7 @@ def test_streaming(spark, tmp_path):
         q.awaitTermination(120)
         spark.createDataFrame([*rows[:1], ("https://x.edu/c", page, datetime(2026, 1, 1))], stream.PAGES).write.mode("overwrite").parquet(f"{tmp_path}/in/2")
     r = stream.inventory_of(spark, f"{tmp_path}/out").first()
-    assert (r["occurrence_count"], r["unique_url_count"], r["e164_phone"]) == (3, 3, "+16145551234")
+    assert (r["occurrence_count"], r["unique_url_count"], r["e164_phone"]) == (3, 3, "+14155550142")
 
 
 @pytest.fixture
@@ -335,6 +349,159 @@ def test_fetch(spark, server):
     assert got["/moved"]["final_url"].endswith("/ok") and got["/slow"]["fail_status"] == "FAILED_TIMEOUT" and got["http://127.0.0.1:9/"]["fail_status"] == "FAILED_NETWORK"
 
 
+PAGES = {
+    "/": "<html><title>Home</title><a href='/a'>a</a><a href='/b'>b</a><a href='/login'>l</a> 415-555-0101</html>",
+    "/a": "<html><title>A</title><a href='/c'>c</a> 415-555-0142</html>",
+    "/b": "<html><title>B</title> nothing</html>",
+    "/c": "<html><title>C</title> 415-555-0177</html>",
+    "/robots.txt": "User-agent: *\nDisallow: /private\n",
+    "/sitemap.xml": "<urlset><url><loc>/d</loc></url></urlset>",
+    "/d": "<html><title>D</title><a href='/private'>p</a></html>",
+}
+
+
+@pytest.fixture
+def live():
+    """A small site, which counts what it is asked for, and which can be told to break off a crawl."""
+    asked: list[str] = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            asked.append(self.path)
+            body = PAGES.get(self.path, "").encode()
+            self.send_response(200 if body else 404)
+            self.send_header("Content-Type", "text/html" if body.startswith(b"<html") else "text/plain")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", asked
+    s.shutdown()
+
+
+def test_live_crawl_that_breaks_off_goes_on_where_it_was(spark, live, tmp_path):
+    root, asked = live
+    config = CrawlConfig(f"{root}/", delay=0, concurrency=2, retries=1, timeout=5, render_js="off", max_depth=4)
+
+    class Breaking(sinks.Checkpoint):
+        def save(self, level, **tables):
+            super().save(level, **tables)
+            if level == 1:
+                raise KeyboardInterrupt
+
+    lines = []
+    with progress.listening(lambda tag, message: lines.append((tag, message))), pytest.raises(KeyboardInterrupt):
+        run(spark, config, live=True, state=Breaking(spark, f"file://{tmp_path}/state"))
+    state = sinks.Checkpoint(spark, f"file://{tmp_path}/state")
+    assert state.levels() == [0, 1] and {"/", "/a", "/b", "/d"} <= set(asked) and "/c" not in asked
+    assert ("CRAWL", f"1/2 {root}/") in lines and any(tag == "DISCOVER" for tag, _ in lines)
+    asked.clear()
+    result = run(spark, config, state.load("fetched"), live=True, state=state)
+    assert {p for p in asked if p != "/robots.txt" and "sitemap" not in p} == {"/c"}
+    assert {r["normalized_url"][len(root) :]: r["status"] for r in result.pages.collect()} == {p: "SUCCESS" for p in ("/", "/a", "/b", "/c", "/d")}
+    assert {r["e164_phone"] for r in result.phones.collect()} == {"+14155550101", "+14155550142", "+14155550177"}
+    assert {(r["url"][len(root) :], r["status"]) for r in result.events.collect()} == {("/login", "SKIPPED_PATTERN"), ("/private", "SKIPPED_ROBOTS")}
+    assert {r["status"] for r in result.sitemaps.collect()} == {"SUCCESS", "FAILED"} and state.levels()[-1] == 4
+
+
+def test_a_page_that_cannot_be_read_is_one_failed_page(spark, monkeypatch):
+    monkeypatch.setattr(operators, "_page", lambda url, html: 1 / 0)
+    row = operators._read("u", "<p>")
+    assert row[0] == "u" and row[-1] == "ZeroDivisionError: division by zero" and row[-2] == []
+    df = spark.createDataFrame([("u", "<p>415-555-0142"), ("v", None)], "url string, html string")
+    assert [(r["url"], len(r["numbers"]), r["parse_error"]) for r in operators.extract_pages(df).orderBy("url").collect()] == [("u", 1, None), ("v", 0, None)]
+
+
+def test_spans_without_overlaps(spark):
+    one = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (2, 0, 5), (3, 2, 3)], "k int, start int, end int")
+    two = spark.createDataFrame([(1, 4, 5), (3, 0, 2), (3, 3, 9), (4, 0, 9)], "k int, start int, end int")
+    assert sorted(tuple(r) for r in operators.without_overlaps(one, two, "k").collect()) == [(1, 5, 9), (2, 0, 5), (3, 2, 3)]
+
+
+def test_labels_of_a_page_are_announced_once(spark, capsys):
+    rows = occurrences(spark, {}, {}, {"source_url": "u2", "page_title": None}, {"e164_phone": "", "normalized_phone": "7"})
+    progress.announce_phones(operators.first_seen_labels(rows))
+    assert capsys.readouterr().out.splitlines() == ["[PHONE] +14155550142 — Registrar", "[PHONE] +14155550142 — u2", "[PHONE] 7 — Registrar"]
+
+
+def test_logs(tmp_path, capsys):
+    progress.setup_logging(log_file=f"{tmp_path}/crawl.log")
+    progress.event("crawl_event", url="u", status="SUCCESS")
+    seen = []
+    with progress.listening(lambda tag, message: seen.append(tag)):
+        progress.announce("JS", "x")
+    progress.announce("PDF", "y")
+    lines = (tmp_path / "crawl.log").read_text().splitlines()
+    assert json.loads(lines[0]).items() >= {"event": "crawl_event", "level": "info", "url": "u", "status": "SUCCESS"}.items()
+    assert lines[1:] == ["[JS] x", "[PDF] y"] == capsys.readouterr().out.splitlines() and seen == ["JS"]
+    progress.setup_logging()
+
+
+def test_replies_of_a_chat_service():
+    assert ask.parse_reply('{"classification": "", "number_kind": "fax", "confidence": null}') == {"classification": "Unknown", "number_kind": "FAX", "confidence": 0.5}
+    for bad in ("[]", "no json"):
+        with pytest.raises(ValueError):
+            ask.parse_reply(bad)
+    sent = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self) -> None:  # noqa: N802
+            sent.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": '{"classification": "Bursar", "confidence": 0.8}'}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    assert ask.chat({}) is None
+    got = ask.chat({"OPENAI_API_KEY": "k", "OPENAI_BASE_URL": f"http://127.0.0.1:{s.server_port}/v1/"})("Number: 7")
+    s.shutdown()
+    assert got == {"classification": "Bursar", "number_kind": "UNKNOWN", "confidence": 0.8}
+    assert sent[0][:2] == ("/v1/chat/completions", "Bearer k") and "Number: 7" in sent[0][2]["messages"][1]["content"]
+
+
+def test_long_tables_go_on_in_further_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 4)
+    path = sinks.export_workbook({"Rows": spark.range(7).orderBy("id"), "None": spark.range(0)}, f"{tmp_path}/w.xlsx")
+    with zipfile.ZipFile(path) as z:
+        names = [x.split('"')[1] for x in z.read("xl/workbook.xml").decode().split("<sheet ")[1:]]
+        held = [z.read(f"xl/worksheets/sheet{k}.xml").decode().count("<row ") - 1 for k in range(1, 5)]
+    assert names == ["Rows", "Rows (2)", "Rows (3)", "None"] and held == [3, 3, 1, 0]
+
+
+def test_output_folder():
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    assert default_output_dir("https://User@Museum.test:80/x", at=at) == "output/museum.test_20260102_030405"
+    assert default_output_dir("//a.test", "r", at) == "r/a.test_20260102_030405" and default_output_dir(" ", at=at).startswith("output/site_")
+
+
+def test_downloads_and_dashboard(tmp_path):
+    jobs = web.Jobs(str(tmp_path), lambda config, job: {})
+    run_dir = tmp_path / "r1"
+    (run_dir / "phone_inventory.csv").mkdir(parents=True)
+    (run_dir / "phone_inventory.csv" / "part-0.csv").write_text("a,b\n1,2\n")
+    (run_dir / "phone_inventory.csv" / "part-1.csv").write_text("a,b\n3,4\n")
+    (run_dir / "crawl.log").write_text("x")
+    s = web.serve(jobs, None, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}{path}", timeout=5)
+    assert get("/api/crawls/r1/files/phone_inventory.csv").read() == b"a,b\n1,2\n3,4\n" and get("/api/crawls/r1/files/crawl.log").read() == b"x"
+    with pytest.raises(urllib.error.HTTPError):
+        get("/api/crawls/r1/files/crawl_report.md")
+    shown = get("/").read().decode()
+    s.shutdown()
+    assert "clean(r[n])" in shown and "1500" in shown and all(f in shown for f in web.FILES) and "POLL_MS" not in shown
+
+
 def test_web(tmp_path):
     gate = threading.Event()
 
