@@ -47,8 +47,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least one word in twenty belongs to benchmark passages go."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
+    """Documents that hold a whole window of a benchmark passage go, however long they are, and those of which at least one word in
+    twenty belongs to shorter items."""
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("whole or contaminated"), "contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
