@@ -4,7 +4,7 @@ guess_bits(value) is the cost in bits of the cheapest segmentation of value into
 variants), dates, repeats, keyboard walks and brute-force spans. A value that stands behind a credential key and
 costs at least min_bits becomes a span of kind guess, beside the base kinds assign, access and hex.
 
-Null and empty texts give no spans. Rows are scanned one by one, so repeated rows give repeated results; texts of any
+Null and empty texts give no spans, an empty table no rows. Rows are scanned one by one, so repeated rows give repeated results; texts of any
 length are scanned whole. Columns other than doc_id and text are ignored.
 """
 
@@ -27,9 +27,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex", "guess")
 
-#: A key that announces a credential, a separator, then a quoted value or a run without white space.
+#: A key that announces a credential (a word of its own, or a capitalised part of one), a separator, then a quoted value or a run without white space.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"""
+    r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=(?-i:[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"""
     r"""["']?[ \t]*(?::=?|=>?)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'`,;]+))""",
     re.I | re.A,
 )
@@ -53,19 +53,37 @@ KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 KEYS = sum(map(len, KEYBOARD))
 
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d")
+#: Dates in all their lengths: year first, year last in four or two digits, a year alone.
+DATES = tuple(
+    re.compile(x)
+    for x in (
+        r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+        r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?\d\d",
+        r"(?:19|20)\d\d",
+    )
+)
 YEARS = 130
+DAY_BITS, YEAR_BITS = math.log2(366) + 1.0, math.log2(YEARS)
 
-#: Bits for each further segment, which an attacker has to place.
-SEGMENT_BITS = 1.0
+#: Bits for each further segment, which an attacker has to place; for each further key of a walk, and each repeated character.
+SEGMENT_BITS, WALK_BITS, REPEAT_BITS = 1.0, 1.5, 0.25
+#: Least lengths of walks, and of repeats, which have two units at least.
+LEAST_RUN = 3
+UNITS = (1, 2, 3, 4)
 
 
-def _class_bits(c: str) -> float:
+def _class_bits(c: str, mixed: bool = False) -> float:
+    """Brute force for a character: of ten digits, 26 letters (52 if both cases occur), 33 ASCII marks or a thousand others."""
     if c.isascii():
-        return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
+        return math.log2(10 if c.isdigit() else 26 * (1 + mixed) if c.isalpha() else 33)
     return math.log2(1000)
 
 
+def _mixed(value: str) -> bool:
+    return any("a" <= c <= "z" for c in value) and any("A" <= c <= "Z" for c in value)
+
+
 def _word_bits(part: str) -> float | None:
     low, extra = part.lower(), 0.0
     if part != low:
@@ -76,61 +94,66 @@ def _word_bits(part: str) -> float | None:
     return math.log2(RANK[folded] + 1) + extra + 1.5 if folded in RANK else None
 
 
-def _walk(text: str, at: int) -> int:
-    """The end of the keyboard walk that starts at at."""
-    end = at + 1
-    while end < len(text) and text[end - 1] in PLACE and text[end] in PLACE and text[end] != text[end - 1]:
-        (y, x), (v, u) = PLACE[text[end - 1]], PLACE[text[end]]
-        if abs(y - v) > 1 or abs(x - u) > 1:
-            break
-        end += 1
-    return end
+def _beside(a: str, b: str) -> bool:
+    """If a walk goes from key a to key b."""
+    if a == b or a not in PLACE or b not in PLACE:
+        return False
+    (y, x), (v, u) = PLACE[a], PLACE[b]
+    return abs(y - v) <= 1 and abs(x - u) <= 1
 
 
 def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """The least cost in bits of a segmentation of value, and its segments as (kind, start, end).
 
-    best[i] is the least cost of value[:i]. Brute force is open-ended, so it has a state of its own, loose[i]: the least cost if
-    value[i - 1] belongs to a brute-force span. Repeats and walks are taken at each length from three characters up, but only from
-    where such a run starts; so the work is linear in the length but for the longest word.
+    best[i] is the least cost of value[:i]. Segments of any length have a state of their own: the least cost, and the start, if value[i - 1]
+    belongs to a brute-force span, to a walk of at least LEAST_RUN keys, or to a repeat of a unit of 1 to 4 characters with at least two
+    units. Each state goes on from the one before or starts anew, whichever is cheaper; so all starts and ends are covered, and the
+    work is linear in the length but for the longest word.
     """
-    n, low = len(value), value.lower()
+    n, low, none = len(value), value.lower(), (math.inf, 0)
+    mixed = _mixed(value)
+    bits = [_class_bits(c, mixed) for c in value]
     best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
-    loose, loose_from = [math.inf] * (n + 1), [0] * (n + 1)
+    loose = walk = none
+    repeat, same = dict.fromkeys(UNITS, none), dict.fromkeys(UNITS, 0)
+    steps = 0  # of the walk that ends here, whatever its start
+
+    def fresh(i: int) -> float:
+        """The cost of a segment's start at i."""
+        return best[i] + (SEGMENT_BITS if i else 0.0)
 
     def offer(end: int, cost: float, kind: str, start: int) -> None:
         if cost < best[end]:
             best[end], back[end] = cost, (kind, start)
 
-    walk_end = [0] * (n + 1)
     for i in range(n):
-        here = best[i] + (SEGMENT_BITS if i else 0.0)
-        bits = _class_bits(value[i])
-        fresh, on = here + bits, loose[i] + bits
-        loose[i + 1], loose_from[i + 1] = (fresh, i) if fresh <= on else (on, loose_from[i])
-        offer(i + 1, loose[i + 1], "brute", loose_from[i + 1])
-        for end in range(i + 2, min(n, i + LONGEST) + 1):
-            if (w := _word_bits(value[i:end])) is not None:
-                offer(end, here + w, "word", i)
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            whole = m.end() - i
-            offer(m.end(), here + math.log2(YEARS) + (math.log2(366) + 1.0 if whole > 4 else 0.0), "date", i)
-        if i and walk_end[i - 1] > i:
-            walk_end[i] = walk_end[i - 1]
+        end, here = i + 1, fresh(i)
+        for stop in range(i + 2, min(n, i + LONGEST) + 1):
+            if (w := _word_bits(value[i:stop])) is not None:
+                offer(stop, here + w, "word", i)
+        if value[i].isdigit():
+            for date in DATES:
+                if m := date.match(value, i):
+                    offer(m.end(), here + YEAR_BITS + (DAY_BITS if m.end() - i > 4 else 0.0), "date", i)
+        loose = min((loose[0] + bits[i], loose[1]), (here + bits[i], i))
+        offer(end, loose[0], "brute", loose[1])
+        steps = steps + 1 if i and _beside(low[i - 1], low[i]) else 0
+        if steps + 1 >= LEAST_RUN:
+            start = end - LEAST_RUN
+            walk = min((walk[0] + WALK_BITS, walk[1]), (fresh(start) + math.log2(KEYS) + WALK_BITS * (LEAST_RUN - 1), start))
+            offer(end, walk[0], "walk", walk[1])
         else:
-            walk_end[i] = _walk(low, i)
-            for end in range(i + 3, walk_end[i] + 1):
-                offer(end, here + math.log2(KEYS) + 2.0 * (end - i - 1) * 0.75, "walk", i)
-        for unit in (1, 2, 3, 4):
-            if i >= unit and value[i - 1 : i] == value[i - 1 + unit : i + unit]:
-                continue  # the run starts earlier
-            end = i + unit
-            while end < n and value[end] == value[end - unit]:
-                end += 1
-            if end - i >= max(3, 2 * unit):
-                base = sum(map(_class_bits, value[i : i + unit]))
-                for stop in {end, end - (end - i) % unit}:
-                    offer(stop, here + base + math.log2((stop - i) / unit + 1), "repeat", i)
+            walk = none
+        for unit in UNITS:
+            same[unit] = same[unit] + 1 if i >= unit and value[i] == value[i - unit] else 0
+            least = max(LEAST_RUN, 2 * unit)
+            if same[unit] >= least - unit:
+                start = end - least
+                began = fresh(start) + sum(bits[start : start + unit]) + REPEAT_BITS * (least - unit)
+                repeat[unit] = min((repeat[unit][0] + REPEAT_BITS, repeat[unit][1]), (began, start))
+                offer(end, repeat[unit][0], "repeat", repeat[unit][1])
+            else:
+                repeat[unit] = none
     out, i = [], n
     while i:
         kind, start = back[i]
@@ -143,7 +166,11 @@ def guess_bits(value: str) -> float:
     return segment(value)[0]
 
 
-def find_secrets(text: str, min_bits: float = 45.0, min_length: int = 8) -> list[tuple[int, int, str]]:
+#: Eight random characters of both cases, digits and marks reach it; eight lower-case letters don't.
+MIN_BITS = 40.0
+
+
+def find_secrets(text: str, min_bits: float = MIN_BITS, min_length: int = 8) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed; code points, end exclusive."""
     keyed = text if "=" in text or ":" in text else ""  # both patterns with keys need a separator
     out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(keyed) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
@@ -159,7 +186,7 @@ def find_secrets(text: str, min_bits: float = 45.0, min_length: int = 8) -> list
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
 
-def scan_secrets(documents: DataFrame, min_bits: float = 45.0, min_length: int = 8) -> DataFrame:
+def scan_secrets(documents: DataFrame, min_bits: float = MIN_BITS, min_length: int = 8) -> DataFrame:
     """One row for each row of documents (doc_id, text)."""
     tuned(documents.sparkSession)
 
