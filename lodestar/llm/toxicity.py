@@ -8,7 +8,8 @@ the scoring function (at most 2**BITS of them, whatever the input). Scoring read
 
 Null and empty texts have no features and get the score of the bias alone. Rows are scored one by one: repeated rows give
 repeated results. Several labels of one doc_id count as the largest; null labels and labels without a document aren't used. With
-no labelled rows the model is the bias 0 with score 0.1. Columns other than doc_id and text are ignored.
+no labelled rows the model is the bias 0 with score 0.1; an empty table gives no rows. Of labelled rows whose hashed ids tie, those of the least
+doc_id are taken. Texts of any length are read whole, their features in one array of 2**BITS places at most. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -72,21 +73,28 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, epochs
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id"))
     picked = [known.where(F.col("y") == y).orderBy("o", "doc_id").limit(sample_rows // 2) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # sample_rows rows at most
-    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("o", "y", "text").repartition(1)
+    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("o", "y", "text")
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen, found = Grams(), set(), []
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
         for batch in batches:
             data, bounds = utf8(batch.column(2))
+            for k in range(0, len(batch), 100):
+                at = [features(grams(data[a:b])).astype(np.int32) for a, b in zip(bounds[k : min(k + 100, len(batch))], bounds[k + 1 : k + 101], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 100), batch.column(1).slice(k, 100), pa.array(at, pa.list_(pa.int32()))], names=["o", "y", "at"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, found = set(), []
+        for batch in batches:
             for i, (o, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                found.append((o, features(grams(data[bounds[i] : bounds[i + 1]])).astype(np.int32), int(y > 0)))
-        found.sort(key=lambda x: x[0])
+                found.append((o, batch.column(2)[i].values.to_numpy(zero_copy_only=False), int(y > 0)))
+        found.sort(key=lambda x: (x[0], x[1].tobytes()))
         rows = [(at, y) for _, at, y in found if not ((key := at.tobytes()) in seen or seen.add(key))]
         w = fit_rows(rows, epochs, alpha, beta, l1, l2)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w[at].tolist()], pa.list_(pa.float64()))], names=["at", "w"])
 
-    got = rows.mapInArrow(train, "at array<int>, w array<double>").collect()  # one row of at most 2**BITS weights
+    got = rows.mapInArrow(read, "o long, y int, at array<int>").repartition(1).mapInArrow(train, "at array<int>, w array<double>").collect()  # one row of at most 2**BITS weights
     at, w = (got[0][0], got[0][1]) if got else ([], [])
     return np.array(at, np.int32), np.array(w, np.float64)
 
