@@ -8,7 +8,7 @@ encoded once for each Python worker (a cache holds CACHE of them; the older half
 a heap.
 
 Each new chunk is also encoded and decoded by the sentencepiece library, an Arrow batch's chunks at a time; where the two differ,
-the library's answer is taken and counted in n_repaired. Vocabularies that this doesn't cover (not BPE, a normaliser that changes
+the library's answer is taken (the codec counts such chunks in repaired). Vocabularies that this doesn't cover (not BPE, a normaliser that changes
 text, user-defined symbols, pieces across blanks) go to the library as a whole.
 
 Null texts are empty: no ids, the empty decoding. Rows are encoded one by one, whole, of any length; repeated rows give repeated
@@ -251,7 +251,7 @@ def codec(model: str) -> Codec:
     return _codecs[model]
 
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_repaired long"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_documents(documents: DataFrame, model: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -265,16 +265,14 @@ def encode_documents(documents: DataFrame, model: str, with_ids: bool = False, w
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
                 rows = texts(part.column(1))
-                before = c.repaired
                 got = c.encode_batch(rows)
                 cols = [
                     part.column(0).cast(pa.int64()),
                     pa.array([x.count(",") + 1 if x else 0 for x, _ in got], pa.int64()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in got], pa.string()),
                     pa.array([hashlib.sha256(y.encode()).hexdigest() for _, y in got], pa.string()),
-                    pa.array([c.repaired - before] + [0] * (len(got) - 1), pa.int64()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_repaired"]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     cols.append(pa.array([np.fromstring(x, np.int32, sep=",") for x, _ in got], pa.list_(pa.int32())))
                     names.append("ids")
