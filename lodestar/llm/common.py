@@ -29,9 +29,11 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all runs on one machine, a folder of our own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
+    if not at and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = getattr(sc, "_lodestar_dir", None)
         if at is None:
@@ -69,7 +71,14 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Removes the table behind a result of stored() that nothing reads any more."""
+    drop_scratch(df._stored_at)
 
 
 def text_key() -> list[Column]:

@@ -15,13 +15,15 @@ Bytes are unsigned samples; FLAC's are signed, so byte b is sample b - 128.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestar.llm.common import tuned, utf8
+from lodestar.llm.common import drop_stored, stored, tuned, utf8
 
 BLOCK = 4096
 LPC_ORDER = 4
@@ -450,12 +452,12 @@ def _decode_frames(data: np.ndarray, starts: list[int]) -> tuple[list[np.ndarray
     return [s[32 : 32 + size[f], f] for f in range(count)], ends + 2
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads, with all checksums verified."""
+def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """The PCM blocks (first sample, bytes) of each stream in order, a block a frame, with all checksums verified."""
     meta = [_metadata(x) for x in streams]
     base = np.cumsum([0] + [len(x) for x in streams])
     data = np.frombuffer(b"".join(streams), np.uint8)
-    out = [np.zeros(m[0], np.uint8) for m in meta]
+    out: list[list[tuple[int, bytes]]] = [[] for _ in streams]
     cursors = []  # (stream, offset, end, sample)
     for i, (total, _, first, points) in enumerate(meta):
         points = [p for p in points if p[0] < total] or [(0, 0)]
@@ -463,7 +465,6 @@ def decode(streams: list[bytes]) -> list[bytes]:
             points.insert(0, (0, 0))
         stops = [int(base[i]) + first + p[1] for p in points[1:]] + [int(base[i + 1])]
         cursors += [(i, int(base[i]) + first + p[1], stop, p[0]) for p, stop in zip(points, stops, strict=True)]
-    done = [0] * len(streams)
     while cursors:
         now, cursors = cursors[:TOGETHER], cursors[TOGETHER:]
         low, high = min(c[1] for c in now), max(c[2] for c in now)
@@ -471,14 +472,40 @@ def decode(streams: list[bytes]) -> list[bytes]:
         for (i, _, stop, sample), got, end in zip(now, samples, ends.tolist(), strict=True):
             if sample + len(got) > meta[i][0]:
                 raise FlacError("too many samples")
-            out[i][sample : sample + len(got)] = (got + 128).astype(np.uint8)
-            done[i] += len(got)
+            out[i].append((sample, (got + 128).astype(np.uint8).tobytes()))
             if end + low < stop:
                 cursors.append((i, end + low, stop, sample + len(got)))
-    for x, (total, md5, _, _), n in zip(out, meta, done, strict=True):
-        if n != total or hashlib.md5((x ^ 0x80).tobytes()).digest() != md5:
+    for found, (total, md5, _, _) in zip(out, meta, strict=True):
+        found.sort(key=lambda x: x[0])
+        due, own = 0, hashlib.md5()
+        for sample, pcm in found:
+            if sample != due:
+                raise FlacError("a block is missing")
+            due += len(pcm)
+            own.update((np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes())
+        if due != total or own.digest() != md5:
             raise FlacError("the samples differ from what was stored")
-    return [x.tobytes() for x in out]
+    return out
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payloads, with all checksums verified."""
+    return [b"".join(pcm for _, pcm in blocks) for blocks in decode_blocks(streams)]
+
+
+def decode_at(stream: bytes, sample: int) -> tuple[int, bytes]:
+    """The PCM block (first sample, bytes) that holds a sample: one frame, found by the last seek point in front of it; its checksums are
+    verified, those of other frames aren't read. Without a seek table the frames are walked from the first."""
+    total, _, first, points = _metadata(stream)
+    if not 0 <= sample < total:
+        raise FlacError("no such sample")
+    start, offset = max((p for p in points if p[0] <= sample), default=(0, 0))
+    data = np.frombuffer(stream, np.uint8)[first:]
+    while True:
+        samples, ends = _decode_frames(data[offset:], [0])
+        if sample < start + len(samples[0]):
+            return start, (samples[0] + 128).astype(np.uint8).tobytes()
+        start, offset = start + len(samples[0]), offset + int(ends[0])
 
 
 def payload(raw: bytes, unit: int = 64) -> bytes:
@@ -486,10 +513,17 @@ def payload(raw: bytes, unit: int = 64) -> bytes:
     return raw + bytes(max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
-def feature(pcm: bytes, n_frames: int) -> str:
-    """Frames, peak, mean magnitude in thousandths and sign changes of the samples."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    return f"{n_frames}:{int(np.abs(x).max())}:{int(np.abs(x).sum()) * 1000 // len(x)}:{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+def feature(blocks: list[tuple[int, bytes]]) -> str:
+    """Blocks, peak, mean magnitude in thousandths and sign changes of the samples."""
+    peak = total = size = turns = 0
+    last = None
+    for _, pcm in blocks:
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        low = x < 0
+        peak, total, size = max(peak, int(np.abs(x).max())), total + int(np.abs(x).sum()), size + len(x)
+        turns += int((low[1:] != low[:-1]).sum()) + (last is not None and bool(low[0]) != last)
+        last = bool(low[-1])
+    return f"{len(blocks)}:{peak}:{total * 1000 // size}:{turns}"
 
 
 def _chunks(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -502,49 +536,86 @@ def _chunks(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterato
         first = last
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA = "doc_id long, n_bytes long, media binary"
 
 
-def media_features(documents: DataFrame, with_media: bool = False) -> DataFrame:
-    """Stores each row's text as a FLAC stream, reads that back, and returns what was read; with_media adds the stream.
+def store_media(documents: DataFrame) -> DataFrame:
+    """Writes each row's text as a FLAC stream to the shared folder, and returns that table: doc_id, n_bytes (of the text), media.
 
-    Null texts are empty: a payload of zero bytes alone. Rows are coded one by one, whole; equal texts give equal values. A long text
-    is coded some thousand frames at a time. Other columns are ignored.
+    Null texts are empty: a payload of zero bytes alone. Rows are coded one by one, whole; equal texts give equal streams. A long text
+    is coded some hundred frames at a time. Other columns are ignored. An empty table gives no rows.
     """
-    import zlib
-
     tuned(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raw in _chunks(batch, 1):
-                media = encode([payload(x) for x in raw])
-                rows = []
-                for x, m, back in zip(raw, media, decode(media), strict=True):
-                    n_frames = -(-len(back) // BLOCK)
-                    rows.append((len(x), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(back, n_frames)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                cols = [batch.column(0).slice(first, len(raw)).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
-                names = [c.split()[0] for c in SCHEMA.split(", ")]
-                if with_media:
-                    cols, names = [*cols, pa.array(media, pa.binary())], [*names, "media"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                media = pa.array(encode([payload(x) for x in raw]), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raw)).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA + (", media binary" if with_media else ""))
+    return stored(documents.select("doc_id", "text").mapInArrow(run, MEDIA), "media")
+
+
+def _streams(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Rows of a binary column, some MB together."""
+    held, size, first = [], 0, 0
+    for i, x in enumerate(batch.column(column)):
+        if held and size + len(x.as_buffer()) > limit:
+            yield first, held
+            held, size, first = [], 0, i
+        held.append(x.as_py())
+        size += len(held[-1])
+    if held:
+        yield first, held
+
+
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def read_media(media: DataFrame) -> DataFrame:
+    """The digests and features of each stream of a media table, from the PCM blocks that it decodes to."""
+    tuned(media.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, streams in _streams(batch, 2):
+                rows = []
+                for m, blocks in zip(streams, decode_blocks(streams), strict=True):
+                    sha, tail = hashlib.sha256(), b""
+                    for _, pcm in blocks:
+                        sha.update(pcm)
+                        tail = (tail + pcm)[-64:]
+                    rows.append((sum(len(pcm) for _, pcm in blocks), sha.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature(blocks)))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                cols = [*(batch.column(c).slice(first, len(streams)) for c in (0, 1)), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
+
+
+def media_features(documents: DataFrame, batches: int = 4) -> DataFrame:
+    """Stores each row's text as a FLAC stream, reads that back, and returns one row for each row of documents with what was read.
+
+    Documents are taken in batches by a hash of doc_id, and a batch's streams go when they have been read, so that no more than a share of
+    them is on disk at a time; results don't depend on it."""
+    out = None
+    for b in range(batches):
+        media = store_media(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+        part = stored(read_media(media), "media-features")
+        drop_stored(media)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, media) to one row for each block: doc_id, block, sample_offset, n_samples, pcm; offsets are those of the seek table."""
+    """(doc_id, media) to one row for each block: doc_id, block, sample_offset, n_samples, pcm. decode_at() finds a block by its offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if stream is None:
-                    continue
-                pcm = decode([stream])[0]
-                points = [p for p, _ in _metadata(stream)[3]] or list(range(0, len(pcm), BLOCK))
-                rows = [(doc_id, i, a, b - a, pcm[a:b]) for i, (a, b) in enumerate(zip(points, [*points[1:], len(pcm)], strict=True))]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
+            for first, streams in _streams(batch, 1):
+                for doc_id, blocks in zip(batch.column(0).slice(first, len(streams)).to_pylist(), decode_blocks(streams), strict=True):
+                    rows = [(doc_id, i, a, len(pcm), pcm) for i, (a, pcm) in enumerate(blocks)]
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+
+    return media.where("media is not null").select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
