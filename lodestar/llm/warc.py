@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import scratch, tuned, utf8
+from lodestar.llm.common import SENT, scratch, stored, tuned, utf8
 
 CHUNK = 256 << 10
 #: Bytes of chunks that are handed on together.
@@ -135,8 +135,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = tuned(pages.sparkSession)
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.unhex(F.sha1(html)).alias("digest"))
-    least = rows.groupBy("digest").agg(F.min("page_id").alias("first")).withColumnRenamed("digest", "d")
-    known = rows.join(least, F.col("digest") == F.col("d"))
+    # only payloads that occur twice need to know their first page; the others aren't shuffled, unless the repeated ones are too many to be sent
+    least = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    least = stored(least, "repeated-payloads")
+    least = F.broadcast(least) if least.count() <= SENT else least
+    known = rows.join(least, F.col("digest") == F.col("d"), "left")
     repeats = (F.octet_length("html") >= min_bytes) & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     known = known.select("page_id", "url", "html", "first", F.coalesce(repeats, F.lit(False)).alias("revisit"))
 
