@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Rolling, mix, stored, tuned, utf8
+from lodestar.llm.common import Rolling, drop_stored, mix, stored, tuned, utf8
 
 LENGTH, GRAM = 200, 64
 BLOCK = 1 << 19
@@ -181,15 +181,17 @@ def refined(rows: DataFrame, bucket: list[str], length: int, last: bool = False)
     if last:
         return whole, None
     open_ = classes.groupBy(*bucket).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("names")).where("least = 1 and names > 1").select(*bucket)
+    open_ = stored(open_, "open-buckets")
     reps = classes.join(open_, bucket).select("h", "one.doc_id", "one._tk", "one.first", "one.pre", "one.more", F.least("n", F.lit(2)).cast("short").alias("weight"))
     return whole, stored(reps, "representatives")
 
 
 def repeats(documents: DataFrame, length: int) -> DataFrame:
     """(doc_id, _tk, a, b): runs of bytes that are covered by repeated strings; they may overlap. documents: keyed."""
-    rows = anchors(documents, length)
-    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    rows = stored(anchors(documents, length), "all-anchors")
+    many = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "buckets")  # on their own, so that the join can be split
     kept = stored(rows.join(many, "h").withColumn("weight", F.lit(1).cast("short")), "anchors")
+    drop_stored(rows)
     found, reps = refined(kept, ["h"], length)
     for step in (STEP, 1):
         parts = stored(cells(documents, reps, length, min(step, length)), "cells")
