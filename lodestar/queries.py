@@ -767,7 +767,7 @@ def _site_maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     loc = F.when(k % 3 == 0, F.concat(F.lit("https://other.test/"), k)).when(k % 3 == 1, F.concat(F.lit("https://site.test/p/"), k)).otherwise(F.concat(F.lit("/p/"), k))
     leaves = _sitemap_files(table(spark, sf_dir, "pages").select(F.concat(F.lit("https://site.test/sitemap-"), k % 4, F.lit(".xml")).alias("sitemap_url"), F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>")).alias("entry")))
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>/sitemap-{i}.xml</loc></sitemap>" for i in (0, 1, 2, 3, 9)) + "</sitemapindex>"
-    files = leaves.unionByName(spark.createDataFrame([("https://site.test/sitemap.xml", bytearray(index.encode()))], "sitemap_url string, content binary"))
+    files = stored(leaves, "sitemap-leaves").unionByName(spark.createDataFrame([("https://site.test/sitemap.xml", bytearray(index.encode()))], "sitemap_url string, content binary"))
     return feeds.discover_sitemaps(files, "https://site.test/", Scope.of("https://site.test/"), ["/news.xml"], max_urls=0)
 
 

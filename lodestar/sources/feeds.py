@@ -183,7 +183,7 @@ def read_pdfs(files: DataFrame) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str) -> dict[str, str]:
     """The metrics of a run's report CSV."""
-    rows = spark.read.option("header", True).schema("metric string, value string").csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').schema("metric string, value string").csv(path)
     got = rows.select(F.map_from_entries(F.collect_list(F.struct("metric", F.coalesce("value", F.lit(""))))).alias("m")).first()
     return got["m"]
 
@@ -191,7 +191,7 @@ def read_metrics(spark: SparkSession, path: str) -> dict[str, str]:
 def read_csv(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """A table of strings, as the dashboard reads it; nulls are empty."""
     names = [x.split()[0] for x in re.sub(r"<[^>]*>", "", schema).replace("\n", " ").split(",")]
-    df = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in names)).csv(path).fillna("")
+    df = spark.read.option("header", True).option("escape", '"').schema(", ".join(f"{n} string" for n in names)).csv(path).fillna("")
     return df.limit(limit) if limit else df
 
 
