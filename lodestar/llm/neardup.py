@@ -8,12 +8,15 @@ each is in both with that probability, so fewer are shared with a probability be
 C follows from K and the similarity: at K = 64 it is 36 for 0.85 and 31 for 0.80; K grows where C would be too small. So values that no other class holds drop out, and with them classes of fewer than C shared values. Of the others,
 in order from rare to common, any two that share C meet in the lists of their first (shared - C + 1) values.
 - Lists of at most LIST classes give pairs.
-- Longer lists never do. A pivot is taken from each, and each member's difference d to the pivot's set is computed. If two members are
+- Longer lists never do. A pivot is taken from each, the class with the most and the most common shared values, and each member's
+  difference d to the pivot's set is computed. If two members are
   similar, either both are similar to the pivot, so that the links to the pivot join them already, or their differences share an element:
   were the differences disjoint, |x ^ y| = |dx| + |dy|, and |dx| <= t (|x| + |y|) - |dy| <= t (|x| + |pivot|) as |y| <= |pivot| + |dy| and
-  t < 1 (t = (1 - s) / (1 + s); similarity s means |x ^ y| <= t (|x| + |y|)). So differences are indexed in turn, by
+  t < 1 (t = (1 - s) / (1 + s); similarity s means |x ^ y| <= t (|x| + |y|)). So differences are indexed in turn, rarest elements first and by
   prefixes that their sizes allow, and only pairs of which one isn't linked to the pivot are looked for. No pair is lost. That
-  holds for any pivot; the one that is taken is the member nearest to what most hold, so that differences are small.
+  holds for any pivot.
+- Lists of this index that are too long in turn get pivots of their own from among their members, and so on. A list holds fewer classes than
+  the group that it comes from, which has its pivot besides, so this ends; each of two clusters that look alike gets its pivot.
 
 Union sketches (the K least values of both sketches) drop pairs of fewer than C values in both. What is left is verified on full sets.
 Links make components, by stars, in tables.
@@ -129,13 +132,16 @@ def needed(n: Column, similarity: int) -> Column:
 
 
 def prefixes(reps: DataFrame, similarity: int) -> DataFrame:
-    """(v, rid, n, spare): the rarest shared values of each class that can have a similar one."""
+    """(v, rid, n, rank): the rarest shared values of each class that can have a similar one. The less the rank, the better a pivot: it
+    puts classes with many shared values first, then those with common ones."""
     post = reps.select("rid", "n", F.explode("sketch").alias("v"))
     common = post.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = post.join(common, "v").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("s"))  # at most K values
     s, c = F.size("s"), needed(F.col("n"), similarity)
+    weight = F.aggregate("s", F.lit(0).cast("long"), lambda total, x: total + x["f"])
+    rank = (c - s).cast("long") * F.lit(1 << 40) - F.least(weight, F.lit((1 << 40) - 1))
     able = shared.where(s >= c)
-    return able.select("rid", "n", (c - s).alias("spare"), F.explode(F.slice("s", 1, (s - c + 1).cast("int"))).alias("x")).select(F.col("x.v").alias("v"), "rid", "n", "spare")
+    return able.select("rid", "n", rank.alias("rank"), F.explode(F.slice("s", 1, (s - c + 1).cast("int"))).alias("x")).select(F.col("x.v").alias("v"), "rid", "n", "rank")
 
 
 def _sizes_fit(a: Column, b: Column, similarity: int) -> Column:
@@ -143,14 +149,14 @@ def _sizes_fit(a: Column, b: Column, similarity: int) -> Column:
 
 
 def list_pairs(entries: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of lists of at most LIST classes, and (p, x): the pivots of longer lists with their members."""
-    lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("spare", "rid")).alias("p")).where("f > 1")
+    """Pairs (a, b) of lists of at most LIST classes, and stars (g, p, x, side, rank) of longer lists: the members x of the group of a pivot p."""
+    lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("rank", "rid")).alias("p")).where("f > 1")
     lists = stored(lists.select("v", "f", F.col("p.rid").alias("p")), "lists")
     short = entries.join(lists.where(F.col("f") <= LIST).select("v"), "v")
     a, b = short.select("v", F.col("rid").alias("a"), F.col("n").alias("na")), short.select("v", F.col("rid").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
-    stars = entries.join(lists.where(F.col("f") > LIST).select("v", "p"), "v").where("rid <> p").select("p", F.col("rid").alias("x")).distinct()
-    return pairs, stars
+    stars = entries.join(lists.where(F.col("f") > LIST).select("v", "p"), "v").where("rid <> p")
+    return pairs, stars.select(F.col("p").alias("g"), "p", F.col("rid").alias("x"), F.lit(0).alias("side"), "rank").distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -203,90 +209,152 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return _with_sets(pairs, sets, "a", "b").mapInArrow(run, "a long, b long")
 
 
-#: Kinds of rows of differences(): a link to the pivot; index entries of unlinked members, for pairs of two unlinked ones; entries of
-#: unlinked members, and of linked ones, for pairs of both.
-LINK, OPEN, OPEN_TO_LINKED, LINKED = range(4)
+#: Kinds of entries of the index of differences: those of unlinked members, for pairs of two such; those of unlinked members, and of
+#: linked ones, for pairs of both.
+OPEN, OPEN_TO_LINKED, LINKED = range(3)
 
 
-def difference_entries(p: np.ndarray, x: np.ndarray, similarity: int, fp: np.ndarray | None = None, fx: np.ndarray | None = None, members: int = 0) -> tuple[bool, int, dict[int, np.ndarray]]:
-    """If x is similar to the pivot p, the size of its difference, and the keys of the difference that stand in the index, by kind, in order.
-
-    fp, fx: how many of the group's members hold each element of p and x. Entries are taken from the rarest: what few members add
-    or lack comes first. Any order that is the same for all members is right; this one makes short lists."""
-    more, less = ~np.isin(x, p, assume_unique=True), ~np.isin(p, x, assume_unique=True)
-    d = np.concatenate([x[more], mix(p[less] + np.uint64(1))])
-    if fp is not None:
-        d = d[np.lexsort((d, np.concatenate([fx[more], members - fp[less]])))]
+def difference(p: np.ndarray, x: np.ndarray, similarity: int) -> tuple[bool, np.ndarray, dict[int, int]]:
+    """If x is similar to the pivot p, the keys of its difference, and how many of them stand in the index, by kind, from the first in
+    any order that is the same for all members."""
+    d = np.concatenate([x[~np.isin(x, p, assume_unique=True)], mix(p[~np.isin(p, x, assume_unique=True)] + np.uint64(1))])
     t, most = (100 - similarity) / (100 + similarity), 100 / similarity
     linked = len(d) * (100 + similarity) <= (100 - similarity) * (len(x) + len(p))
 
-    def first(overlap: float) -> np.ndarray:
-        return d[: max(0, len(d) - max(1, int(overlap)) + 1)]
+    def first(overlap: float) -> int:
+        return max(0, len(d) - max(1, int(overlap)) + 1)
 
     half = math.floor((len(d) + t * (len(p) - len(x))) / 2 - 1e-9) + 1
     if linked:
-        return True, len(d), {LINKED: first(half)}
+        return True, d, {LINKED: first(half)}
     out = {OPEN: first(half)}
     least = math.ceil(len(d) - t * len(x) * (1 + most) - 1e-9)
     if least <= t * (len(x) * most + len(p)) + 1e-9:  # else no linked member's difference is large enough
         out[OPEN_TO_LINKED] = first(least)
-    return False, len(d), out
-
-
-def groups(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(g, x, members, p, s, sp): the members of each pivot's group with their sets as (f, v), f the members that hold v; p is the member
-    that is nearest to what most members hold, which is a better pivot than the one that named the group."""
-    members = stars.select(F.col("p").alias("g"), "x").unionByName(stars.select(F.col("p").alias("g"), F.col("p").alias("x"))).distinct()
-    held = members.join(sets.select(F.col("rid").alias("x"), "full"), "x").select("g", "x", F.explode("full").alias("v"))
-    often = held.groupBy("g", "v").agg(F.count(F.lit(1)).alias("f"))
-    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    score = F.sum(F.when(F.col("f") * 2 >= F.col("members"), 1).otherwise(-1)).alias("score")
-    rows = held.join(often, ["g", "v"]).join(size, "g").groupBy("g", "x").agg(F.sort_array(F.collect_list(F.struct("v", "f"))).alias("s"), score, F.first("members").alias("members"))
-    rows = stored(rows, "groups")
-    best = rows.groupBy("g").agg(F.max_by("x", F.struct("score", -F.col("x"))).alias("p"))
-    pivots = rows.select("g", F.col("x").alias("p"), F.col("s").alias("sp")).join(best, ["g", "p"])
-    return rows.join(pivots, "g").where("x <> p").select("g", "x", "members", "p", *(F.col(c).alias(n) for c, n in (("s.v", "v"), ("s.f", "f"), ("sp.v", "pv"), ("sp.f", "pf"))))
+    return False, d, out
 
 
 def differences(stars: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(kind, g, x, key, size, at, n): links (key: the pivot), and the index of differences: their size, the place of key in them, and x's size."""
+    """(g, p, x, side, rank, linked, n, d, first array<int>): each member's difference, and its entries in the index by kind."""
+    one = sets.select(F.col("rid").alias("x"), F.col("full").alias("fx"))
+    two = sets.select(F.col("rid").alias("p"), F.col("full").alias("fp"))
+    rows = stars.join(one, "x").join(two, "p").select("g", "p", "x", "side", "rank", "fx", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            v, pv = (_lists(batch.column(i)) for i in (4, 6))
-            f, pf = ([x.astype(np.int64) for x in _lists(batch.column(i))] for i in (5, 7))
-            for i, (g, x, members, p) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                order, p_order = np.argsort(v[i]), np.argsort(pv[i])
-                linked, size, entries = difference_entries(pv[i][p_order], v[i][order], similarity, pf[i][p_order], f[i][order], members)
-                rows += [(LINK, g, x, p, 0, 0, 0)] * linked
-                for kind, keys in entries.items():
-                    rows += [(kind, g, x, k, size, at, len(v[i])) for at, k in enumerate(keys.view(np.int64).tolist())]
-            names = ["kind", "g", "x", "key", "size", "at", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i in (0, 4, 5, 6) else pa.int64()) for i in range(7)], names=names)
+            got = [difference(p, x, similarity) for x, p in zip(_lists(batch.column(5)), _lists(batch.column(6)), strict=True)]
+            n = pa.array(np.diff(batch.column(5).offsets.to_numpy()), pa.int32())
+            first = pa.array([[g[2].get(k, 0) for k in (OPEN, OPEN_TO_LINKED, LINKED)] for g in got], pa.list_(pa.int32()))
+            cols = [*(batch.column(i) for i in range(5)), pa.array([g[0] for g in got], pa.bool_()), n, _longs([g[1] for g in got]), first]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "p", "x", "side", "rank", "linked", "n", "d", "first"])
 
-    return groups(stars, sets).mapInArrow(run, "kind int, g long, x long, key long, size int, at int, n int")
+    return rows.mapInArrow(run, "g long, p long, x long, side int, rank long, linked boolean, n int, d array<long>, first array<int>")
 
 
-def pivot_pairs(index: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) whose differences to a pivot share an entry, and can share as much as they have to.
+#: A list of the index: elements of a group's differences, by the pairs that are looked for.
+LIST_ID = ["g", "key", "use"]
 
-    At the first entry that two differences share, no more of either than what follows is shared; pairs for which that isn't enough,
-    or whose sizes are too far apart, drop out in the join."""
 
-    def side(kind: int, name: str) -> DataFrame:
-        return index.where(F.col("kind") == kind).select("g", "key", F.col("x").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "at", "n")))
+def difference_counts(found: DataFrame) -> DataFrame:
+    """(g, key, f): how many members of a group have an element in their difference; counted by batches before it is shuffled."""
 
-    def met(one: DataFrame, two: DataFrame, a: str, b: str) -> DataFrame:
-        c = lambda name, k: F.col(f"{name}_{k}")
-        room = F.lit((100 - similarity) / (100 + similarity)) * (c("n", a) + c("n", b)) + 1e-6
-        left = F.least(c("size", a) - c("at", a), c("size", b) - c("at", b))
-        able = (left * 2 + room >= c("size", a) + c("size", b)) & (F.abs(c("size", a) - c("size", b)) <= room) & _sizes_fit(c("n", a), c("n", b), similarity)
-        return one.join(two, ["g", "key"]).where(able & (F.col(a) < F.col(b)) if (a, b) == ("a", "b") else able)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _lists(batch.column(1))
+            if not rows:
+                continue
+            key = np.concatenate(rows).view(np.int64)
+            g = np.repeat(batch.column(0).to_numpy(), [len(x) for x in rows])
+            order = np.lexsort((key, g))
+            g, key = g[order], key[order]
+            first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
+            f = np.diff(np.r_[first, len(key)])
+            yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(key[first]), pa.array(f, pa.int64())], names=["g", "key", "f"])
+
+    return found.select("g", "d").mapInArrow(run, "g long, key long, f long").groupBy("g", "key").agg(F.sum("f").alias("f"))
+
+
+#: Elements of a group that are gathered in one array.
+PART = 4096
+
+
+def difference_index(found: DataFrame) -> DataFrame:
+    """(g, key, use, role, x, rank, n, size, at): the entries of found, from the rarest keys of the group. Groups all of whose members are
+    linked need none.
+
+    In a list, any two of role 0 are looked for, and any of role 1 with any of role 2. In a group of side 0 all pairs are looked for, in one of
+    sides 1 and 2 those of both sides: so entries of OPEN have their side for a role; OPEN_TO_LINKED has role 1 and LINKED role 2, in
+    a list for members of side 2 (use 2) or others (use 1), by the side of the unlinked one.
+
+    Elements that no other member has come first, and make no pairs. The others are kept by group with their counts, in arrays of some thousand,
+    which members meet as a whole: only what a prefix reaches becomes rows."""
+    found = found.join(found.where("not linked").select("g").distinct(), "g", "left_semi")
+    often = stored(difference_counts(found).where("f > 1"), "difference-counts")
+    sizes = found.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    parts = stored(often.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).join(sizes, "g"), "difference-parts")
+    # what most members have is a part of its own, the last; it has at most twice as many elements as a member has on average
+    part = F.when(F.col("f") * 2 > F.col("members"), F.col("parts")).otherwise(F.pmod("key", "parts"))
+    arrays = often.join(parts, "g").groupBy("g", part.alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "key"))), lambda e: e["key"]).alias("shared"))
+    own = F.concat(F.array_distinct(F.transform("d", lambda k: F.pmod(k, F.col("parts")))), F.array("parts"))
+    met = found.join(parts, "g").select("g", "x", "d", F.explode(own).alias("part")).join(arrays, ["g", "part"])
+    met = met.select("g", "x", "part", F.array_intersect("shared", "d").alias("both"))  # in the order of shared
+    ranked = met.groupBy("g", "x").agg(F.array_sort(F.collect_list(F.struct("part", "both"))).alias("s"))  # of a member's own difference
+    ranked = ranked.select("g", "x", F.flatten(F.transform("s", lambda e: e["both"])).alias("keys"))
+    rows = found.withColumn("size", F.size("d")).drop("d", "p").join(ranked, ["g", "x"])
+    alone = F.col("size") - F.size("keys")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), (F.col("first")[k] - alone).alias("m")) for k in (OPEN, OPEN_TO_LINKED, LINKED)))
+    rows = rows.withColumn("alone", alone).withColumn("k", F.explode(kinds)).where("k.m > 0")
+    rows = rows.select("g", "x", "side", "rank", "n", "size", "alone", "k.kind", F.posexplode(F.slice("keys", F.lit(1), F.col("k.m"))).alias("at", "key"))
+    side, kind = F.col("side"), F.col("kind")
+    use = F.when(kind == OPEN, 0).when(kind == OPEN_TO_LINKED, F.when(side == 2, 2).otherwise(1)).otherwise(F.when(side == 1, 2).otherwise(1))
+    role = F.when(kind == OPEN, side).when(kind == OPEN_TO_LINKED, 1).otherwise(2)
+    return rows.select("g", "key", use.alias("use"), role.alias("role"), "x", "rank", "n", "size", (F.col("at") + F.col("alone")).alias("at"))
+
+
+#: At most so many times as many pairs as members come from a list of two roles; lists of differences, which few pairs pass, may be so
+#: many times as long as those of sketch values, as each further level costs a round over tables.
+TIMES, DEEP = 8, 4
+
+
+def difference_lists(index: DataFrame) -> DataFrame:
+    """(g, key, use, p, long): lists that pairs are looked for in, the pivot of each, and if it needs one."""
+    of = lambda k: F.count_if(F.col("role") == k)
+    best = F.min(F.when(F.col("role") < 2, F.struct("rank", "x")))
+    lists = index.groupBy(*LIST_ID).agg(of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), best.alias("p")).where("n0 > 1 or n1 > 0 and n2 > 0")
+    most = DEEP * LIST
+    long = (F.col("n0") > most) | ((F.col("n1") * F.col("n2") > most * most) & (F.least("n1", "n2") > TIMES))
+    return lists.select(*LIST_ID, F.col("p.x").alias("p"), long.alias("long"))
+
+
+def difference_pairs(index: DataFrame, lists: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of short lists whose differences can share as much as they have to.
 
-    both = met(side(OPEN, "a"), side(OPEN, "b"), "a", "b").select("a", "b")
-    half = met(side(OPEN_TO_LINKED, "x"), side(LINKED, "y"), "x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return both.unionByName(half).distinct()
+    At the first entry that two differences share, no more of either than what follows is shared; pairs for which that isn't enough,
+    or whose sizes are too far apart, drop out in the join."""
+    short = index.join(lists.where("not long").select(*LIST_ID), LIST_ID)
+    a, b = (short.select(*LIST_ID, *(F.col(c).alias(f"{c}_{side}") for c in ("role", "x", "n", "size", "at"))) for side in "ab")
+    c = F.col
+    room = F.lit((100 - similarity) / (100 + similarity)) * (c("n_a") + c("n_b")) + 1e-6
+    left = F.least(c("size_a") - c("at_a"), c("size_b") - c("at_b"))
+    able = (left * 2 + room >= c("size_a") + c("size_b")) & (F.abs(c("size_a") - c("size_b")) <= room) & _sizes_fit(c("n_a"), c("n_b"), similarity)
+    wanted = ((c("role_a") == 0) & (c("role_b") == 0) & (c("x_a") < c("x_b"))) | ((c("role_a") == 1) & (c("role_b") == 2))
+    return a.join(b, LIST_ID).where(wanted & able).select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
+
+
+def by_pivots(stars: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(a, b) of members that are similar to a pivot, and pairs (a, b) to verify; each level's long lists make the next level's groups."""
+    links = pairs = None
+    while not stars.isEmpty():
+        found = stored(differences(stars, sets, similarity), "differences")
+        linked = found.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        index = stored(difference_index(found), "difference-index")
+        lists = stored(difference_lists(index), "difference-lists")
+        met = difference_pairs(index, lists, similarity)
+        links, pairs = (linked, met) if links is None else (links.unionByName(linked), pairs.unionByName(met))
+        long = index.join(lists.where("long").select(*LIST_ID, "p"), LIST_ID).where("x <> p")
+        group = F.xxhash64("g", "p", "use")
+        stars = stored(long.select(group.alias("g"), "p", "x", F.col("role").alias("side"), "rank").distinct(), "stars")
+    return links, pairs
 
 
 def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5) -> DataFrame:
@@ -305,9 +373,12 @@ def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5)
     pairs, stars = stored(estimated(pairs, reps, similarity), "pairs"), stored(stars, "stars")
     used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(stars.select(F.explode(F.array("p", "x")).alias("rid"))).distinct()
     sets = stored(full_sets(documents, reps.select("rid", "d", "t").join(used, "rid"), width), "sets")
-    index = stored(differences(stars, sets, similarity), "differences")
-    more = stored(pivot_pairs(index, similarity).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    links = verified(pairs.unionByName(more), sets, similarity).unionByName(index.where(F.col("kind") == LINK).select(F.col("key").alias("a"), F.col("x").alias("b")))
+    near, more = by_pivots(stars, sets, similarity)
+    if more is not None:
+        pairs = pairs.unionByName(more).distinct()
+    links = verified(pairs, sets, similarity)
+    if near is not None:
+        links = links.unionByName(near)
     found = components(stored(links, "links"))
     named = reps.select("rid", "node", "low").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.withColumn("root", F.coalesce("root", "rid"))

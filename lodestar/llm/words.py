@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from lodestar.llm.common import Rolling, mix
@@ -20,6 +22,9 @@ NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
 
 BLOCK = 1 << 20
 
+#: Longer words get a cryptographic hash: polynomials modulo 2**64 collide on certain words of 1,024 bytes and more, whatever the base.
+LONG = 64
+
 
 class Words:
     """Words of byte rows as 64-bit hashes of their lower-cased bytes; rows of any length, a block at a time."""
@@ -53,8 +58,7 @@ class Words:
             return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         starts, ends = self._bounds(data, bounds)
         low = LOWER[data]
-        hashes = mix(self.rolling.spans(self.rolling.prefix(low), starts, ends))
-        return hashes, np.searchsorted(starts, bounds, "left")
+        return self._hashes(low, starts, ends), np.searchsorted(starts, bounds, "left")
 
     def _bounds(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = ~self.breaks[data]
@@ -72,4 +76,10 @@ class Words:
 
     def _whole(self, data: np.ndarray) -> np.ndarray:
         starts, ends = self._bounds(data, np.array([0, len(data)]))
-        return mix(self.rolling.spans(self.rolling.prefix(LOWER[data]), starts, ends))
+        return self._hashes(LOWER[data], starts, ends)
+
+    def _hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = mix(self.rolling.spans(self.rolling.prefix(low), starts, ends))
+        for i in np.flatnonzero(ends - starts > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out

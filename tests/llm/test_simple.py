@@ -41,33 +41,61 @@ def test_base_spans(parts):
 
 
 def brute_segment(value: str) -> float:
-    """Least cost over all cuts into the same kinds of parts."""
-    n = len(value)
+    """Least cost over all cuts into parts, each as cheap as any of its kinds makes it."""
+    n, low = len(value), value.lower()
+    mixed = value != low and value != value.upper() and any(c.isascii() and c.islower() for c in value) and any(c.isascii() and c.isupper() for c in value)
+    one = [secrets._class_bits(c, mixed) for c in value]
+    place = {c: (y, x) for y, row in enumerate(["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]) for x, c in enumerate(row)}
+
+    def beside(a: str, b: str) -> bool:
+        return a != b and a in place and b in place and all(abs(u - v) <= 1 for u, v in zip(place[a], place[b], strict=True))
+
+    def costs(i: int, j: int):
+        part = value[i:j]
+        yield sum(one[i:j])
+        if 2 <= len(part) <= secrets.LONGEST and (w := secrets._word_bits(part)) is not None:
+            yield w
+        if any(d.fullmatch(part) for d in secrets.DATES):
+            yield np.log2(130) + (np.log2(366) + 1 if j - i > 4 else 0)
+        if j - i >= 3 and all(beside(low[k - 1], low[k]) for k in range(i + 1, j)):
+            yield np.log2(45) + 1.5 * (j - i - 1)
+        for unit in (1, 2, 3, 4):
+            if j - i >= max(3, 2 * unit) and all(value[k] == value[k - unit] for k in range(i + unit, j)):
+                yield sum(one[i : i + unit]) + 0.25 * (j - i - unit)
+
     best = [0.0] + [float("inf")] * n
-    classes = [secrets._class_bits(c) for c in value]
-    low = value.lower()
-    for i in range(n):
-        here = best[i] + (secrets.SEGMENT_BITS if i else 0)
-        for j in range(i + 1, n + 1):
-            part = value[i:j]
-            costs = [sum(classes[i:j])]
-            if 2 <= len(part) <= secrets.LONGEST and (w := secrets._word_bits(part)) is not None:
-                costs.append(w)
-            if (m := secrets.DATE.match(value, i)) and value[i].isdigit() and m.end() == j:
-                costs.append(np.log2(secrets.YEARS) + (np.log2(366) + 1 if j - i > 4 else 0))
-            best[j] = min(best[j], here + min(costs))
-            del low
-            low = value.lower()
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + (1 if i else 0) + min(costs(i, j)) for i in range(j))
     return best[n]
 
 
-@pytest.mark.parametrize("value", ["password1x", "admin2024!", "zQ8#dragon", "19991231", "P@ssw0rdzz"])
-def test_segmentation_is_no_dearer_than_brute_force(value):
+FOUND_DEARER = ["lovertyu", "masterfghjkl", "testtttttt", "startyuiop#9Xk"]
+
+
+@pytest.mark.parametrize("value", ["password1x", "admin2024!", "zQ8#dragon", "19991231", "P@ssw0rdzz", "1201201201", "qwqwqwasdfzzz", "20012002", *FOUND_DEARER])
+def test_segmentation_is_the_cheapest(value):
     bits, parts = secrets.segment(value)
-    assert bits <= brute_segment(value) + 1e-9
+    assert bits == pytest.approx(brute_segment(value), abs=1e-9)
     assert "".join(value[a:b] for _, a, b in parts) == value
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["love", "test", "Dragon", "qwert", "asdf", "poi", "t", "T", "1", "20", "2019", "12", "ab", "abab", "zz", "#", "é", "31", "-"]), max_size=8))
+def test_segmentation_of_any_value_is_the_cheapest(parts):
+    value = "".join(parts)
+    assert secrets.segment(value)[0] == pytest.approx(brute_segment(value), abs=1e-9)
+
+
+def test_long_values_take_time_in_proportion():
+    assert secrets.segment("a" * 50_000 + "qw" * 20_000)[0] < 30_000
+
+
+def test_keys_of_compound_names():
+    found = lambda t: [t[a:b] for a, b, k in secrets.find_secrets(t) if k == "guess"]
+    assert found("dbPassword=hT7$kQ9x, clientSecret: 'v9#Lq2!xZ'") == ["hT7$kQ9x", "v9#Lq2!xZ"]
+    assert found("the compass: north-western, password: reminder") == []
+
+
 def test_guess_costs_order():
     assert secrets.guess_bits("password123") < 20 < 60 < secrets.guess_bits("f33e61083db5dbdf4bd2369d2f80176e")
     assert secrets.guess_bits("aaaaaaaaaaaaaaaa") < 15
@@ -129,12 +157,39 @@ def test_language(spark, edges, empty):
     assert {r["lang_pred"] for r in langid.identify(empty.unionByName(edges.where("lang is null"))).collect()} == {"und"}
 
 
-def test_counts_take_long_texts_in_blocks(monkeypatch):
-    text = "The quick brown fox jumps. " * 50
-    whole = langid.counts(text)
-    monkeypatch.setattr(langid, "BLOCK", 100)
-    parts = langid.counts(text)
-    assert abs(parts.sum() - whole.sum()) < 0.25 * whole.sum() and langid.counts("123 !") is None
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
+def test_counts_take_long_texts_in_blocks(monkeypatch, block):
+    for text in ("The quick,  brown fox jumps. " * 20, "  ΟΔΟΣ ΑΣ 12 Straße ", "a", "x" * 300, "-- 1 a", "İstanbul"):
+        monkeypatch.setattr(langid, "BLOCK", 1 << 18)
+        whole = langid.counts(text)
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.array_equal(langid.counts(text), whole)
+    assert langid.counts("123 !") is None
+
+
+def test_ftrl_equals_a_plain_one():
+    """Weights held one by one in dicts, from the published update."""
+    rng = random.Random(5)
+    rows = [(sorted(rng.sample(range(1, 40), 6)), rng.random() < 0.5) for _ in range(120)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.5, 0.3
+    z, n = {}, {}
+
+    def weight(i: int) -> float:
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return (sign * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for at, y in rows:
+            own = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(own.values()))) - y
+            for i in at:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / alpha * own[i]
+    got = toxicity.fit_rows([(np.array(at), int(y)) for at, y in rows], 3, alpha, beta, l1, l2)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)]) and not got[40:].any()
 
 
 def test_temperature_lowers_the_loss():
@@ -247,19 +302,45 @@ def test_flac_escaped_partition_and_wide_parameters():
     assert flac.decode([b"fLaC" + bytes([0x80]) + (34).to_bytes(3, "big") + info + frame]) == [data]
 
 
+def test_blocks_are_found_by_sample():
+    data = bytes(np.random.default_rng(1).integers(0, 256, 5 * 4096 + 64, dtype=np.uint8))
+    stream = flac.encode([data])[0]
+    for sample in (0, 1, 4095, 4096, 13_000, len(data) - 1):
+        first = sample // 4096 * 4096
+        assert flac.decode_at(stream, sample) == (first, data[first : first + 4096])
+    size = int.from_bytes(stream[43:46], "big")
+    bare = stream[:4] + bytes([0x80]) + stream[5:42] + stream[46 + size :]
+    assert flac.decode_at(bare, 13_000) == flac.decode_at(stream, 13_000)
+    last = len(stream) - 10
+    damaged = stream[:last] + bytes([stream[last] ^ 4]) + stream[last + 1 :]
+    assert flac.decode_at(damaged, 100) == (0, data[:4096])  # other frames aren't read
+    for bad in (-1, len(data)):
+        with pytest.raises(flac.FlacError):
+            flac.decode_at(stream, bad)
+
+
+def plain_feature(pcm: bytes) -> str:
+    x = [b - 128 for b in pcm]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"{-(-len(x) // 4096)}:{max(map(abs, x))}:{sum(map(abs, x)) * 1000 // len(x)}:{turns}"
+
+
 def test_media_rows(edges, empty):
-    got = flac.media_features(edges, with_media=True)
-    rows = got.collect()
+    media = flac.store_media(edges)
+    rows = flac.media_features(edges).collect()
+    same = lambda a, b: sorted(map(str, a)) == sorted(map(str, b))
+    assert same(rows, flac.read_media(media).collect())
     texts = {}
     for r in edges.select("doc_id", "text").collect():
         texts.setdefault(r["doc_id"], []).append((r["text"] or "").encode())
+    streams = {hashlib.sha256(r["media"]).hexdigest(): len(r["media"]) for r in media.collect()}
     for r in rows:
         raw = next(x for x in texts[r["doc_id"]] if len(x) == r["n_bytes"])
         p = flac.payload(raw)
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        assert streams[r["media_sha256"]] == r["media_bytes"] and r["feature"] == plain_feature(p)
     assert len(rows) == edges.count() and flac.media_features(empty).count() == 0
-    blocks = flac.pcm_blocks(got.where("doc_id = 10")).orderBy("block").collect()
+    blocks = flac.pcm_blocks(media.where("doc_id = 10")).orderBy("block").collect()
     assert b"".join(bytes(b["pcm"]) for b in blocks).startswith(texts[10][0]) and [b["sample_offset"] for b in blocks] == [i * flac.BLOCK for i in range(len(blocks))]
 
 
