@@ -1,7 +1,11 @@
 """Training-data pipeline: toxicity, line dedup, near-duplicate dedup, benchmark decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents.
+the last return the columns of documents; other columns are left out.
+
+Null and empty texts aren't toxic, repeated or contaminated: they stay, with no tokens (line_dedup turns a null text into an empty one). Rows that repeat
+doc_id and text are judged alike, and stay or go together; a null doc_id is a value. Null lang and source stay null. Texts of any length
+are read whole. An empty table gives an empty one at each stage, with its columns.
 """
 
 from __future__ import annotations
