@@ -235,6 +235,11 @@ def test_near_duplicates(edges, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
+    same(near_of(docs), brute_near(rows_of(docs)))
+
+
 @pytest.mark.parametrize("size", [40, 146])
 def test_large_group_goes_by_pivots(spark, monkeypatch, size):
     """Copies with growing numbers of changes, some of them shared, in lists that are far longer than allowed."""
