@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -64,21 +65,38 @@ def drop_scratch(path: str | None = None) -> None:
 atexit.register(drop_scratch)
 
 
+#: Spark's setting by which the shuffle files of a query go as soon as it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile leaves no shuffle files behind."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
     path = scratch(df.sparkSession, name)
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        out = df.write
+        if partition_by:
+            out = out.partitionBy(*partition_by)
+        out.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes the table behind a result of stored() that nothing reads any more."""
-    drop_scratch(df._stored_at)
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes the tables behind results of stored() that nothing reads any more."""
+    for df in tables:
+        drop_scratch(df._stored_at)
 
 
 def text_key() -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop_scratch, scratch
+from lodestar.llm.common import drop_scratch, scratch, shuffles_dropped
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def store(df: DataFrame) -> tuple[DataFrame, str]:
         path = scratch(spark, "stars")
-        df.write.parquet(path)
+        with shuffles_dropped(spark):
+            df.write.parquet(path)
         return spark.read.schema("u long, v long").parquet(path), path
 
     def state(df: DataFrame) -> tuple:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import mix, stored, text_key, tuned, utf8
+from lodestar.llm.common import drop_stored, mix, stored, text_key, tuned, utf8
 from lodestar.llm.components import components
 from lodestar.llm.shingles import Shingler, signature
 
@@ -47,6 +47,8 @@ LOSS = 1e-8
 LIST = 64
 #: At most so many keys are sent to each executor to pick documents by (some tens of MB); beyond, both sides are shuffled.
 SENT = 500_000
+#: The sets of pivots are sent to each executor up to so many bytes.
+SENT_BYTES = 8_000_000
 
 
 @cache
@@ -148,10 +150,19 @@ def _sizes_fit(a: Column, b: Column, similarity: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
 
 
-def list_pairs(entries: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+def members(*columns: str) -> list[Column]:
+    """Two hashes that tell the members of lists apart."""
+    return [F.bit_xor(F.xxhash64(*columns, F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+
+
+def value_lists(entries: DataFrame) -> DataFrame:
+    """(v, f, p): lists with their length and pivot; of lists with the same members, which give the same pairs, one."""
+    lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("rank", "rid")).alias("p"), *members("rid")).where("f > 1")
+    return lists.groupBy("f", "m1", "m2").agg(F.min(F.struct("v", "p.rid")).alias("one")).select("one.v", "f", F.col("one.rid").alias("p"))
+
+
+def list_pairs(entries: DataFrame, lists: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of lists of at most LIST classes, and stars (g, p, x, side, rank) of longer lists: the members x of the group of a pivot p."""
-    lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("rank", "rid")).alias("p")).where("f > 1")
-    lists = stored(lists.select("v", "f", F.col("p.rid").alias("p")), "lists")
     short = entries.join(lists.where(F.col("f") <= LIST).select("v"), "v")
     a, b = short.select("v", F.col("rid").alias("a"), F.col("n").alias("na")), short.select("v", F.col("rid").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
@@ -237,7 +248,10 @@ def difference(p: np.ndarray, x: np.ndarray, similarity: int) -> tuple[bool, np.
 def differences(stars: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(g, p, x, side, rank, linked, n, d, first array<int>): each member's difference, and its entries in the index by kind."""
     one = sets.select(F.col("rid").alias("x"), F.col("full").alias("fx"))
-    two = sets.select(F.col("rid").alias("p"), F.col("full").alias("fp"))
+    two = sets.join(stars.select(F.col("p").alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias("p"), F.col("full").alias("fp"))
+    size = two.agg(F.sum(F.size("fp"))).first()[0] or 0
+    if size * 8 <= SENT_BYTES:  # so that members' sets don't meet their pivot's by a shuffle
+        two = F.broadcast(two)
     rows = stars.join(one, "x").join(two, "p").select("g", "p", "x", "side", "rank", "fx", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,26 +292,41 @@ def difference_counts(found: DataFrame) -> DataFrame:
 PART = 4096
 
 
-def difference_index(found: DataFrame) -> DataFrame:
-    """(g, key, use, role, x, rank, n, size, at): the entries of found, from the rarest keys of the group. Groups all of whose members are
-    linked need none.
+def with_open(found: DataFrame) -> DataFrame:
+    """The rows of groups that have members that aren't linked; others need no index."""
+    return found.join(found.where("not linked").select("g").distinct(), "g", "left_semi")
+
+
+def difference_parts(found: DataFrame, often: DataFrame) -> DataFrame:
+    """(g, parts, members): in how many arrays the shared elements of each group are gathered, and how many members it has."""
+    sizes = found.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    return often.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).join(sizes, "g")
+
+
+def in_parts(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """(g, x, part, own): the elements of each member's difference by part. Each element is in its part and in the last, whatever the number
+    of parts."""
+    last = F.col("parts")
+    ids = F.concat(F.array_distinct(F.transform("d", lambda k: F.pmod(k, last))), F.array(last))
+    own = lambda q: F.when(q == last, F.col("d")).otherwise(F.filter("d", lambda k: F.pmod(k, last) == q))
+    cut = F.explode(F.transform(ids, lambda q: F.struct(q.alias("part"), own(q).alias("own")))).alias("e")
+    return found.join(parts, "g").select("g", "x", cut).select("g", "x", "e.part", "e.own")
+
+
+def difference_index(found: DataFrame, often: DataFrame, parts: DataFrame) -> DataFrame:
+    """(g, key, use, role, x, rank, n, size, at): the entries of found, from the rarest keys of the group.
 
     In a list, any two of role 0 are looked for, and any of role 1 with any of role 2. In a group of side 0 all pairs are looked for, in one of
     sides 1 and 2 those of both sides: so entries of OPEN have their side for a role; OPEN_TO_LINKED has role 1 and LINKED role 2, in
     a list for members of side 2 (use 2) or others (use 1), by the side of the unlinked one.
 
-    Elements that no other member has come first, and make no pairs. The others are kept by group with their counts, in arrays of some thousand,
-    which members meet as a whole: only what a prefix reaches becomes rows."""
-    found = found.join(found.where("not linked").select("g").distinct(), "g", "left_semi")
-    often = stored(difference_counts(found).where("f > 1"), "difference-counts")
-    sizes = found.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    parts = stored(often.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).join(sizes, "g"), "difference-parts")
+    Elements that no other member has come first, and make no pairs. The others (often) are kept by group with their counts, in arrays of some
+    thousand, which members meet by parts: only what a prefix reaches becomes rows."""
     # what most members have is a part of its own, the last; it has at most twice as many elements as a member has on average
     part = F.when(F.col("f") * 2 > F.col("members"), F.col("parts")).otherwise(F.pmod("key", "parts"))
     arrays = often.join(parts, "g").groupBy("g", part.alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "key"))), lambda e: e["key"]).alias("shared"))
-    own = F.concat(F.array_distinct(F.transform("d", lambda k: F.pmod(k, F.col("parts")))), F.array("parts"))
-    met = found.join(parts, "g").select("g", "x", "d", F.explode(own).alias("part")).join(arrays, ["g", "part"])
-    met = met.select("g", "x", "part", F.array_intersect("shared", "d").alias("both"))  # in the order of shared
+    met = in_parts(found, parts).join(arrays, ["g", "part"])
+    met = met.select("g", "x", "part", F.array_intersect("shared", "own").alias("both"))  # in the order of shared
     ranked = met.groupBy("g", "x").agg(F.array_sort(F.collect_list(F.struct("part", "both"))).alias("s"))  # of a member's own difference
     ranked = ranked.select("g", "x", F.flatten(F.transform("s", lambda e: e["both"])).alias("keys"))
     rows = found.withColumn("size", F.size("d")).drop("d", "p").join(ranked, ["g", "x"])
@@ -317,21 +346,25 @@ TIMES, DEEP = 8, 4
 
 
 def difference_lists(index: DataFrame) -> DataFrame:
-    """(g, key, use, p, long): lists that pairs are looked for in, the pivot of each, and if it needs one."""
+    """(g, key, use, p, long): lists that pairs are looked for in, the pivot of each, and if it needs one.
+
+    Of lists with the same members and roles, the first in the order of the group's keys: pairs of the others are in it, with no less behind
+    their entries."""
     of = lambda k: F.count_if(F.col("role") == k)
     best = F.min(F.when(F.col("role") < 2, F.struct("rank", "x")))
-    lists = index.groupBy(*LIST_ID).agg(of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), best.alias("p")).where("n0 > 1 or n1 > 0 and n2 > 0")
+    lists = index.groupBy(*LIST_ID).agg(of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), best.alias("p"), F.min(F.struct("x", "at")).alias("least"), *members("x", "role"))
+    lists = lists.where("n0 > 1 or n1 > 0 and n2 > 0").groupBy("g", "use", "n0", "n1", "n2", "m1", "m2").agg(F.min(F.struct("least.at", "key", "p.x")).alias("one"))
+    lists = lists.select("g", "one.key", "use", "n0", "n1", "n2", F.col("one.x").alias("p"))
     most = DEEP * LIST
     long = (F.col("n0") > most) | ((F.col("n1") * F.col("n2") > most * most) & (F.least("n1", "n2") > TIMES))
-    return lists.select(*LIST_ID, F.col("p.x").alias("p"), long.alias("long"))
+    return lists.select(*LIST_ID, "p", long.alias("long"))
 
 
-def difference_pairs(index: DataFrame, lists: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of short lists whose differences can share as much as they have to.
+def difference_pairs(short: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of short lists, given as entries, whose differences can share as much as they have to.
 
     At the first entry that two differences share, no more of either than what follows is shared; pairs for which that isn't enough,
     or whose sizes are too far apart, drop out in the join."""
-    short = index.join(lists.where("not long").select(*LIST_ID), LIST_ID)
     a, b = (short.select(*LIST_ID, *(F.col(c).alias(f"{c}_{side}") for c in ("role", "x", "n", "size", "at"))) for side in "ab")
     c = F.col
     room = F.lit((100 - similarity) / (100 + similarity)) * (c("n_a") + c("n_b")) + 1e-6
@@ -346,14 +379,21 @@ def by_pivots(stars: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataF
     links = pairs = None
     while not stars.isEmpty():
         found = stored(differences(stars, sets, similarity), "differences")
-        linked = found.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        index = stored(difference_index(found), "difference-index")
+        linked = stored(found.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")), "linked")
+        wanted = with_open(found)
+        often = stored(difference_counts(wanted).where("f > 1"), "difference-counts")
+        parts = stored(difference_parts(wanted, often), "difference-parts")
+        index = stored(difference_index(wanted, often, parts), "difference-index")
+        drop_stored(found, often, parts)
         lists = stored(difference_lists(index), "difference-lists")
-        met = difference_pairs(index, lists, similarity)
+        listed = stored(index.join(lists, LIST_ID), "listed")
+        drop_stored(index, lists)
+        met = stored(difference_pairs(listed.where("not long"), similarity), "met")
         links, pairs = (linked, met) if links is None else (links.unionByName(linked), pairs.unionByName(met))
-        long = index.join(lists.where("long").select(*LIST_ID, "p"), LIST_ID).where("x <> p")
+        long = listed.where("long and x <> p")
         group = F.xxhash64("g", "p", "use")
         stars = stored(long.select(group.alias("g"), "p", "x", F.col("role").alias("side"), "rank").distinct(), "stars")
+        drop_stored(listed)
     return links, pairs
 
 
@@ -368,9 +408,13 @@ def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5)
     picked = F.min(F.struct("doc_id", "_tk")).alias("one")
     reps = rows.where("node is not null").groupBy("node").agg(picked, F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "node", F.col("one.doc_id").alias("d"), F.col("one._tk").alias("t"), "low", "n", "sketch"), "classes")
+    nodes = stored(rows.select("doc_id", "_tk", "n", "node"), "nodes")
+    drop_stored(rows)
     entries = stored(prefixes(reps, similarity), "entries")
-    pairs, stars = list_pairs(entries, similarity)
+    lists = stored(value_lists(entries), "lists")
+    pairs, stars = list_pairs(entries, lists, similarity)
     pairs, stars = stored(estimated(pairs, reps, similarity), "pairs"), stored(stars, "stars")
+    drop_stored(entries, lists)
     used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(stars.select(F.explode(F.array("p", "x")).alias("rid"))).distinct()
     sets = stored(full_sets(documents, reps.select("rid", "d", "t").join(used, "rid"), width), "sets")
     near, more = by_pivots(stars, sets, similarity)
@@ -379,11 +423,14 @@ def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5)
     links = verified(pairs, sets, similarity)
     if near is not None:
         links = links.unionByName(near)
-    found = components(stored(links, "links"))
+    links = stored(links, "links")
+    drop_stored(sets)
+    found = components(links)
     named = reps.select("rid", "node", "low").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", "_tk", "n", "node").join(of_node, "node", "left")
+    of_node = stored(named.join(least, "root").select("node", "component_id"), "components")
+    drop_stored(reps)
+    out = nodes.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "_tk", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import components, decontam, line_dedup, neardup, suffix_dedup
+from lodestar.llm import common, components, decontam, line_dedup, neardup, suffix_dedup
 from lodestar.llm.shingles import Shingler, signature
 
 DATA = "/root/testdata/sf0.001"
@@ -370,6 +371,53 @@ def test_pairs_of_two_clusters_grow_in_proportion(spark, monkeypatch):
     assert l3 <= 6 * l1 and p3 <= 6 * max(p1, 60)
 
 
+def shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    df = common.stored(spark.range(5000).withColumn("k", F.xxhash64("id")).repartition(5, "k"), "shuffled")
+    for _ in range(100):  # they go behind the query's back
+        if (left := shuffle_files(spark)) <= before:
+            break
+        time.sleep(0.1)
+    assert left <= before and df.count() == 5000 and spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_near_duplicates_keep_no_large_table(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST", 8)
+    first = len(common._made)
+    docs = clusters(40, 1000, random.Random(1))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = {re.sub("-[0-9a-f]+$", "", path.rsplit("/", 1)[1]) for _, path in common._made[first:]}
+    assert left and not left & {"sketches", "classes", "entries", "sets", "differences", "difference-counts", "difference-index"}
+    assert {r["component_id"] for r in got.collect()} == {0, 1000}
+
+
+def test_difference_isnt_repeated_for_each_part(spark):
+    rng = np.random.default_rng(2)
+    ds = [rng.integers(-(2**62), 2**62, 300).tolist() for _ in range(3)]
+    found = spark.createDataFrame([(1, x, d) for x, d in enumerate(ds)], "g long, x long, d array<long>")
+    parts = spark.createDataFrame([(1, 16, 3)], "g long, parts long, members long")
+    rows = neardup.in_parts(found, parts).collect()
+    assert sum(len(r["own"]) for r in rows) == 2 * sum(map(len, ds))
+    for x, d in enumerate(ds):
+        own = {r["part"]: r["own"] for r in rows if r["x"] == x}
+        assert own.pop(16) == d and sorted(k for v in own.values() for k in v) == sorted(d)
+        assert all(k % 16 == part for part, v in own.items() for k in v)
+
+
+def test_lists_of_the_same_members_give_their_pairs_once(spark):
+    # keys 1 and 3 have the same members; 2 has others
+    rows = [(1, key, 0, 0, x, 0, 50, 20, at) for key, xs, at in ((3, (5, 6, 7), 4), (1, (5, 6, 7), 2), (2, (5, 6), 3)) for x in xs]
+    index = spark.createDataFrame(rows, "g long, key long, use int, role int, x long, rank long, n int, size int, at int")
+    assert sorted(tuple(r) for r in neardup.difference_lists(index).collect()) == [(1, 1, 0, 5, False), (1, 2, 0, 5, False)]
+    entries = spark.createDataFrame([(v, x, 50, x) for v, xs in ((11, (1, 2)), (12, (1, 2)), (13, (1, 2, 3))) for x in xs], "v long, rid long, n long, rank long")
+    assert sorted(tuple(r) for r in neardup.value_lists(entries).collect()) == [(11, 2, 1), (13, 3, 1)]
+
+
 def test_words_that_collide_modulo_a_power_of_two(spark):
     """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64, whatever the odd base."""
     bits = [bin(i).count("1") % 2 for i in range(2048)]
