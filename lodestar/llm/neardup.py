@@ -16,7 +16,8 @@ in order from rare to common, any two that share C meet in the lists of their fi
   prefixes that their sizes allow, and only pairs of which one isn't linked to the pivot are looked for. No pair is lost. That
   holds for any pivot.
 - Lists of this index that are too long in turn get pivots of their own from among their members, and so on. A list holds fewer classes than
-  the group that it comes from, which has its pivot besides, so this ends; each of two clusters that look alike gets its pivot.
+  the group that it comes from, which has its pivot besides, and where lists are joined, the pivot comes before all members in
+  rank, so this ends; each of two clusters that look alike gets its pivot.
 
 Union sketches (the K least values of both sketches) drop pairs of fewer than C values in both. What is left is verified on full sets.
 Links make components, by stars, in tables.
@@ -156,18 +157,30 @@ def members(*columns: str) -> list[Column]:
 
 
 def value_lists(entries: DataFrame) -> DataFrame:
-    """(v, f, p): lists with their length and pivot; of lists with the same members, which give the same pairs, one."""
+    """(v, f, p, prank): lists with their length, pivot and its rank; of lists with the same members, which give the same pairs, one."""
     lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("rank", "rid")).alias("p"), *members("rid")).where("f > 1")
-    return lists.groupBy("f", "m1", "m2").agg(F.min(F.struct("v", "p.rid")).alias("one")).select("one.v", "f", F.col("one.rid").alias("p"))
+    return lists.groupBy("f", "m1", "m2").agg(F.min(F.struct("v", "p.rid", "p.rank")).alias("one")).select("one.v", "f", F.col("one.rid").alias("p"), F.col("one.rank").alias("prank"))
 
 
 def list_pairs(entries: DataFrame, lists: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of lists of at most LIST classes, and stars (g, p, x, side, rank) of longer lists: the members x of the group of a pivot p."""
+    """Pairs (a, b) of lists of at most LIST classes, and stars (p, prank, x, side, rank) of longer lists: the members x of the group of a pivot p."""
     short = entries.join(lists.where(F.col("f") <= LIST).select("v"), "v")
     a, b = short.select("v", F.col("rid").alias("a"), F.col("n").alias("na")), short.select("v", F.col("rid").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
-    stars = entries.join(lists.where(F.col("f") > LIST).select("v", "p"), "v").where("rid <> p")
-    return pairs, stars.select(F.col("p").alias("g"), "p", F.col("rid").alias("x"), F.lit(0).alias("side"), "rank").distinct()
+    stars = entries.join(lists.where(F.col("f") > LIST).select("v", "p", "prank"), "v").where("rid <> p")
+    return pairs, stars.select("p", "prank", F.col("rid").alias("x"), F.lit(0).alias("side"), "rank").distinct()
+
+
+def gathered(stars: DataFrame) -> DataFrame:
+    """(g, p, x, side, rank) of stars (p, prank, x, rank) of lists all of whose pairs are looked for. Any class does as a pivot: so where a pivot
+    is itself in the groups of others, its members and it go to the first of these in rank, as groups that overlap mostly hold the same
+    members. Lists of one pivot make one group. A pivot still comes before all of its members in rank."""
+    other = stars.select(F.col("p").alias("q"), F.col("prank").alias("qrank"), F.col("x").alias("p"))
+    first = other.join(stars.select("p").distinct(), "p").groupBy("p").agg(F.min(F.struct("qrank", "q")).alias("to"))
+    rows = stars.join(first, "p", "left")
+    moved = rows.where("to is not null").select(F.col("to.q").alias("p"), F.col("p").alias("x"), F.col("prank").alias("rank"))
+    rows = rows.select(F.coalesce("to.q", "p").alias("p"), "x", "rank").unionByName(moved).distinct()
+    return rows.select(F.xxhash64("p").alias("g"), "p", "x", F.lit(0).alias("side"), "rank")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -346,18 +359,18 @@ TIMES, DEEP = 8, 4
 
 
 def difference_lists(index: DataFrame) -> DataFrame:
-    """(g, key, use, p, long): lists that pairs are looked for in, the pivot of each, and if it needs one.
+    """(g, key, use, p, prank, long): lists that pairs are looked for in, the pivot of each and its rank, and if it needs one.
 
     Of lists with the same members and roles, the first in the order of the group's keys: pairs of the others are in it, with no less behind
     their entries."""
     of = lambda k: F.count_if(F.col("role") == k)
     best = F.min(F.when(F.col("role") < 2, F.struct("rank", "x")))
     lists = index.groupBy(*LIST_ID).agg(of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), best.alias("p"), F.min(F.struct("x", "at")).alias("least"), *members("x", "role"))
-    lists = lists.where("n0 > 1 or n1 > 0 and n2 > 0").groupBy("g", "use", "n0", "n1", "n2", "m1", "m2").agg(F.min(F.struct("least.at", "key", "p.x")).alias("one"))
-    lists = lists.select("g", "one.key", "use", "n0", "n1", "n2", F.col("one.x").alias("p"))
+    lists = lists.where("n0 > 1 or n1 > 0 and n2 > 0").groupBy("g", "use", "n0", "n1", "n2", "m1", "m2").agg(F.min(F.struct("least.at", "key", "p.x", "p.rank")).alias("one"))
+    lists = lists.select("g", "one.key", "use", "n0", "n1", "n2", F.col("one.x").alias("p"), F.col("one.rank").alias("prank"))
     most = DEEP * LIST
     long = (F.col("n0") > most) | ((F.col("n1") * F.col("n2") > most * most) & (F.least("n1", "n2") > TIMES))
-    return lists.select(*LIST_ID, "p", long.alias("long"))
+    return lists.select(*LIST_ID, "p", "prank", long.alias("long"))
 
 
 def difference_pairs(short: DataFrame, similarity: int) -> DataFrame:
@@ -391,8 +404,9 @@ def by_pivots(stars: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataF
         met = stored(difference_pairs(listed.where("not long"), similarity), "met")
         links, pairs = (linked, met) if links is None else (links.unionByName(linked), pairs.unionByName(met))
         long = listed.where("long and x <> p")
-        group = F.xxhash64("g", "p", "use")
-        stars = stored(long.select(group.alias("g"), "p", "x", F.col("role").alias("side"), "rank").distinct(), "stars")
+        whole = stored(long.where("role = 0").select("p", "prank", "x", "rank").distinct(), "long-lists")
+        sided = long.where("role <> 0").select(F.xxhash64("g", "p", "use").alias("g"), "p", "x", F.col("role").alias("side"), "rank").distinct()
+        stars = stored(gathered(whole).unionByName(sided), "stars")
         drop_stored(listed)
     return links, pairs
 
@@ -413,7 +427,8 @@ def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5)
     entries = stored(prefixes(reps, similarity), "entries")
     lists = stored(value_lists(entries), "lists")
     pairs, stars = list_pairs(entries, lists, similarity)
-    pairs, stars = stored(estimated(pairs, reps, similarity), "pairs"), stored(stars, "stars")
+    pairs, stars = stored(estimated(pairs, reps, similarity), "pairs"), stored(stars, "long-lists")
+    stars = stored(gathered(stars), "stars")
     drop_stored(entries, lists)
     used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(stars.select(F.explode(F.array("p", "x")).alias("rid"))).distinct()
     sets = stored(full_sets(documents, reps.select("rid", "d", "t").join(used, "rid"), width), "sets")

@@ -413,9 +413,17 @@ def test_lists_of_the_same_members_give_their_pairs_once(spark):
     # keys 1 and 3 have the same members; 2 has others
     rows = [(1, key, 0, 0, x, 0, 50, 20, at) for key, xs, at in ((3, (5, 6, 7), 4), (1, (5, 6, 7), 2), (2, (5, 6), 3)) for x in xs]
     index = spark.createDataFrame(rows, "g long, key long, use int, role int, x long, rank long, n int, size int, at int")
-    assert sorted(tuple(r) for r in neardup.difference_lists(index).collect()) == [(1, 1, 0, 5, False), (1, 2, 0, 5, False)]
+    assert sorted(tuple(r) for r in neardup.difference_lists(index).collect()) == [(1, 1, 0, 5, 0, False), (1, 2, 0, 5, 0, False)]
     entries = spark.createDataFrame([(v, x, 50, x) for v, xs in ((11, (1, 2)), (12, (1, 2)), (13, (1, 2, 3))) for x in xs], "v long, rid long, n long, rank long")
-    assert sorted(tuple(r) for r in neardup.value_lists(entries).collect()) == [(11, 2, 1), (13, 3, 1)]
+    assert sorted(tuple(r) for r in neardup.value_lists(entries).collect()) == [(11, 2, 1, 1), (13, 3, 1, 1)]
+
+
+def test_groups_that_overlap_have_one_pivot(spark):
+    # lists {1, 2, 3, 4}, {2, 3, 4, 5} and {7, 8}, by ranks as their numbers
+    stars = spark.createDataFrame([(p, p, x, 0, x) for p, xs in ((1, (2, 3, 4)), (2, (3, 4, 5)), (7, (8,))) for x in xs], "p long, prank long, x long, side int, rank long")
+    rows = neardup.gathered(stars).collect()
+    assert sorted((r["p"], r["x"]) for r in rows) == [(1, 2), (1, 3), (1, 4), (1, 5), (7, 8)]
+    assert len({r["g"] for r in rows}) == 2 and all(r["rank"] == r["x"] and r["side"] == 0 for r in rows)
 
 
 def test_words_that_collide_modulo_a_power_of_two(spark):
