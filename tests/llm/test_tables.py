@@ -396,6 +396,16 @@ def test_near_duplicates_keep_no_large_table(spark, monkeypatch):
     assert {r["component_id"] for r in got.collect()} == {0, 1000}
 
 
+def test_op9_leaves_results_only(spark):
+    from lodestar.llm import queries
+
+    first = len(common._made)
+    out = queries.queries()["op9_minhash_near_dedup"](spark, DATA)
+    made = {re.sub("-[0-9a-f]+$", "", path.rsplit("/", 1)[1]) for _, path in common._made[first:]}
+    assert "components" in made and not made & {"sketches", "classes", "sets"}
+    assert out.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
 def test_difference_isnt_repeated_for_each_part(spark):
     rng = np.random.default_rng(2)
     ds = [rng.integers(-(2**62), 2**62, 300).tolist() for _ in range(3)]
