@@ -251,15 +251,26 @@ def difference(p: np.ndarray, x: np.ndarray, similarity: int) -> tuple[bool, np.
     half = math.floor((len(d) + t * (len(p) - len(x))) / 2 - 1e-9) + 1
     if linked:
         return True, d, {LINKED: first(half)}
-    out = {OPEN: first(half)}
-    least = math.ceil(len(d) - t * len(x) * (1 + most) - 1e-9)
+    least = math.ceil(len(d) - t * len(x) * (1 + most) - 1e-9)  # of d, no more than |x ^ y| can be missing from the other difference
+    out = {OPEN: first(max(half, least))}
     if least <= t * (len(x) * most + len(p)) + 1e-9:  # else no linked member's difference is large enough
         out[OPEN_TO_LINKED] = first(least)
     return False, d, out
 
 
+#: Bits of a parity map, in longs.
+WORDS = 8
+
+
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each bit, if an odd number of elements of the set fall on it. The maps of two sets differ in no more bits than the sets in elements."""
+    odd = np.bincount((x & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def differences(stars: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(g, p, x, side, rank, linked, n, d, first array<int>): each member's difference, and its entries in the index by kind."""
+    """(g, p, x, side, rank, linked, n, d, first array<int>, bits array<long>): each member's difference, its entries in the index by kind, and
+    the parity map of its set."""
     one = sets.select(F.col("rid").alias("x"), F.col("full").alias("fx"))
     two = sets.join(stars.select(F.col("p").alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias("p"), F.col("full").alias("fp"))
     size = two.agg(F.sum(F.size("fp"))).first()[0] or 0
@@ -269,13 +280,14 @@ def differences(stars: DataFrame, sets: DataFrame, similarity: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [difference(p, x, similarity) for x, p in zip(_lists(batch.column(5)), _lists(batch.column(6)), strict=True)]
+            xs = _lists(batch.column(5))
+            got = [difference(p, x, similarity) for x, p in zip(xs, _lists(batch.column(6)), strict=True)]
             n = pa.array(np.diff(batch.column(5).offsets.to_numpy()), pa.int32())
             first = pa.array([[g[2].get(k, 0) for k in (OPEN, OPEN_TO_LINKED, LINKED)] for g in got], pa.list_(pa.int32()))
-            cols = [*(batch.column(i) for i in range(5)), pa.array([g[0] for g in got], pa.bool_()), n, _longs([g[1] for g in got]), first]
-            yield pa.RecordBatch.from_arrays(cols, names=["g", "p", "x", "side", "rank", "linked", "n", "d", "first"])
+            cols = [*(batch.column(i) for i in range(5)), pa.array([g[0] for g in got], pa.bool_()), n, _longs([g[1] for g in got]), first, _longs([parities(x) for x in xs])]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "p", "x", "side", "rank", "linked", "n", "d", "first", "bits"])
 
-    return rows.mapInArrow(run, "g long, p long, x long, side int, rank long, linked boolean, n int, d array<long>, first array<int>")
+    return rows.mapInArrow(run, "g long, p long, x long, side int, rank long, linked boolean, n int, d array<long>, first array<int>, bits array<long>")
 
 
 #: A list of the index: elements of a group's differences, by the pairs that are looked for.
@@ -327,7 +339,7 @@ def in_parts(found: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def difference_index(found: DataFrame, often: DataFrame, parts: DataFrame) -> DataFrame:
-    """(g, key, use, role, x, rank, n, size, at): the entries of found, from the rarest keys of the group.
+    """(g, key, use, role, x, rank, n, size, bits, at): the entries of found, from the rarest keys of the group.
 
     In a list, any two of role 0 are looked for, and any of role 1 with any of role 2. In a group of side 0 all pairs are looked for, in one of
     sides 1 and 2 those of both sides: so entries of OPEN have their side for a role; OPEN_TO_LINKED has role 1 and LINKED role 2, in
@@ -346,11 +358,11 @@ def difference_index(found: DataFrame, often: DataFrame, parts: DataFrame) -> Da
     alone = F.col("size") - F.size("keys")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), (F.col("first")[k] - alone).alias("m")) for k in (OPEN, OPEN_TO_LINKED, LINKED)))
     rows = rows.withColumn("alone", alone).withColumn("k", F.explode(kinds)).where("k.m > 0")
-    rows = rows.select("g", "x", "side", "rank", "n", "size", "alone", "k.kind", F.posexplode(F.slice("keys", F.lit(1), F.col("k.m"))).alias("at", "key"))
+    rows = rows.select("g", "x", "side", "rank", "n", "size", "bits", "alone", "k.kind", F.posexplode(F.slice("keys", F.lit(1), F.col("k.m"))).alias("at", "key"))
     side, kind = F.col("side"), F.col("kind")
     use = F.when(kind == OPEN, 0).when(kind == OPEN_TO_LINKED, F.when(side == 2, 2).otherwise(1)).otherwise(F.when(side == 1, 2).otherwise(1))
     role = F.when(kind == OPEN, side).when(kind == OPEN_TO_LINKED, 1).otherwise(2)
-    return rows.select("g", "key", use.alias("use"), role.alias("role"), "x", "rank", "n", "size", (F.col("at") + F.col("alone")).alias("at"))
+    return rows.select("g", "key", use.alias("use"), role.alias("role"), "x", "rank", "n", "size", "bits", (F.col("at") + F.col("alone")).alias("at"))
 
 
 #: At most so many times as many pairs as members come from a list of two roles; lists of differences, which few pairs pass, may be so
@@ -377,12 +389,13 @@ def difference_pairs(short: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) of short lists, given as entries, whose differences can share as much as they have to.
 
     At the first entry that two differences share, no more of either than what follows is shared; pairs for which that isn't enough,
-    or whose sizes are too far apart, drop out in the join."""
-    a, b = (short.select(*LIST_ID, *(F.col(c).alias(f"{c}_{side}") for c in ("role", "x", "n", "size", "at"))) for side in "ab")
+    whose sizes are too far apart, or whose parity maps differ in more bits than similar sets in elements, drop out in the join."""
+    a, b = (short.select(*LIST_ID, *(F.col(c).alias(f"{c}_{side}") for c in ("role", "x", "n", "size", "bits", "at"))) for side in "ab")
     c = F.col
     room = F.lit((100 - similarity) / (100 + similarity)) * (c("n_a") + c("n_b")) + 1e-6
     left = F.least(c("size_a") - c("at_a"), c("size_b") - c("at_b"))
     able = (left * 2 + room >= c("size_a") + c("size_b")) & (F.abs(c("size_a") - c("size_b")) <= room) & _sizes_fit(c("n_a"), c("n_b"), similarity)
+    able &= sum(F.bit_count(c("bits_a")[i].bitwiseXOR(c("bits_b")[i])) for i in range(WORDS)) <= room
     wanted = ((c("role_a") == 0) & (c("role_b") == 0) & (c("x_a") < c("x_b"))) | ((c("role_a") == 1) & (c("role_b") == 2))
     return a.join(b, LIST_ID).where(wanted & able).select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
 

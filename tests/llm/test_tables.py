@@ -346,6 +346,29 @@ def test_pivot_entries_lose_no_link(seed, size, percent):
     assert len(met)
 
 
+def test_members_far_from_their_pivot_have_few_entries():
+    rng = np.random.default_rng(5)
+    core = np.unique(rng.integers(1, 2**62, 146).astype(np.uint64))
+    p, x = (np.unique(np.concatenate([rng.permutation(core)[40:], rng.integers(1, 2**62, 40).astype(np.uint64)])) for _ in range(2))
+    linked, d, n = neardup.difference(p, x, 80)
+    # a similar set has no more of x missing or in addition than this
+    apart = 20 / 180 * len(x) * (1 + 100 / 80)
+    assert not linked and len(d) > 2 * apart and n[neardup.OPEN] <= apart + 1
+
+
+def test_pairs_whose_parity_maps_are_too_far_apart_drop_out(spark):
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(1, 2**62, 146).astype(np.uint64))
+    y, z = (np.concatenate([x[k:], rng.integers(1, 2**62, k).astype(np.uint64)]) for k in (5, 70))
+    bits = [neardup.parities(s).view(np.int64).tolist() for s in (x, y, z)]
+    for one, two in ((x, y), (x, z), (y, z)):
+        apart, bound = (int(np.bitwise_count(neardup.parities(one) ^ neardup.parities(two)).sum()), len(np.setxor1d(one, two)))
+        assert apart <= bound and apart % 2 == bound % 2
+    rows = [(1, 1, 0, 0, k, 0, 146, 80, b, 0) for k, b in enumerate(bits)]
+    short = spark.createDataFrame(rows, "g long, key long, use int, role int, x long, rank long, n int, size int, bits array<long>, at int")
+    assert sorted(tuple(r) for r in neardup.difference_pairs(short, 80).collect()) == [(0, 1)]
+
+
 def clusters(size: int, of: int, rng: random.Random) -> list[tuple]:
     """Two clusters of near copies, whose cores share 0.7 of their shingles."""
     base = [f"w{i}" for i in range(400)]
