@@ -233,6 +233,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return _with_sets(pairs, sets, "a", "b").mapInArrow(run, "a long, b long")
 
 
+#: Pairs meet sets, and sketches, in runs that send so many times what there is of either at most, so that disk doesn't grow with the number of pairs.
+SENT_TIMES = 2
+#: Up to so many longs that are sent need no second run (some tens of MB).
+SENT_LONGS = 8_000_000
+
+
+def runs(sent: float, there: float) -> int:
+    return max(1, math.ceil(sent / max(1, SENT_LONGS, SENT_TIMES * there)))
+
+
+def in_runs(pairs: DataFrame, n: int) -> list[DataFrame]:
+    """The pairs (a, b) in n parts."""
+    return [pairs.where(F.pmod(F.xxhash64("a"), F.lit(n)) == i) for i in range(n)] if n > 1 else [pairs]
+
+
+def pairs_to_verify(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+    """estimated() of pairs, in runs."""
+    pairs, k = stored(pairs, "met"), fitted(similarity)[0]
+    parts = [stored(estimated(part, reps, similarity), "pairs") for part in in_runs(pairs, runs(pairs.count() * k, reps.count() * k))]
+    drop_stored(pairs)
+    return union(parts)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose classes the links don't join, be it through others."""
+    found = components(links)
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def all_links(pairs: DataFrame, near: DataFrame | None, sets: DataFrame, sizes: DataFrame, similarity: int) -> list[DataFrame]:
+    """Links of pairs (a, b) and near ones that make the same components as all similar pairs; sizes (rid, n) are those of the sets.
+
+    Where pairs would send sets too often, each class is verified with one other first; pairs that are joined then need no set."""
+    there = sets.select("rid").join(sizes, "rid").agg(F.sum("n")).first()[0] or 0
+    sent = lambda df: df.join(sizes.withColumnRenamed("rid", "a"), "a").agg(F.sum("n")).first()[0] or 0
+    links = [near] if near is not None else []
+    if runs(sent(pairs), there) > 1:
+        one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links.append(stored(verified(one, sets, similarity), "first-links"))
+        pairs = stored(apart(pairs, union(links)), "pairs-apart")
+    return links + [stored(verified(part, sets, similarity), "links") for part in in_runs(pairs, runs(sent(pairs), there))]
+
+
 #: Kinds of entries of the index of differences: those of unlinked members, for pairs of two such; those of unlinked members, and of
 #: linked ones, for pairs of both.
 OPEN, OPEN_TO_LINKED, LINKED = range(3)
@@ -440,18 +492,15 @@ def near_duplicates(documents: DataFrame, similarity: int = 85, width: int = 5)
     entries = stored(prefixes(reps, similarity), "entries")
     lists = stored(value_lists(entries), "lists")
     pairs, stars = list_pairs(entries, lists, similarity)
-    pairs, stars = stored(estimated(pairs, reps, similarity), "pairs"), stored(stars, "long-lists")
+    pairs, stars = pairs_to_verify(pairs, reps, similarity), stored(stars, "long-lists")
     stars = stored(gathered(stars), "stars")
     drop_stored(entries, lists)
     used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(stars.select(F.explode(F.array("p", "x")).alias("rid"))).distinct()
     sets = stored(full_sets(documents, reps.select("rid", "d", "t").join(used, "rid"), width), "sets")
     near, more = by_pivots(stars, sets, similarity)
     if more is not None:
-        pairs = pairs.unionByName(more).distinct()
-    links = verified(pairs, sets, similarity)
-    if near is not None:
-        links = links.unionByName(near)
-    links = stored(links, "links")
+        pairs = stored(pairs.unionByName(more).distinct(), "all-pairs")
+    links = union(all_links(pairs, near, sets, reps.select("rid", "n"), similarity))
     drop_stored(sets)
     found = components(links)
     named = reps.select("rid", "node", "low").join(found.withColumnRenamed("node", "rid"), "rid", "left")

@@ -419,6 +419,23 @@ def test_near_duplicates_keep_no_large_table(spark, monkeypatch):
     assert {r["component_id"] for r in got.collect()} == {0, 1000}
 
 
+def test_pairs_that_others_join_meet_no_sets(spark, monkeypatch):
+    """One class with each other first, then those that this leaves apart, in runs."""
+    seen, verified = [], neardup.verified
+
+    def counted(pairs, sets, similarity):
+        seen.append(pairs.count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    monkeypatch.setattr(neardup, "SENT_LONGS", 0, raising=False)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, changed(rng, base, 1 + i % 3)) for i in range(40)]
+    same(near_of(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)), brute_near(docs))
+    assert sum(seen) < 40 * 39 / 4
+
+
 def test_op9_leaves_results_only(spark):
     from lodestar.llm import queries
 
