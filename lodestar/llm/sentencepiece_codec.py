@@ -4,8 +4,9 @@ A text becomes its characters, with a dummy blank in front and blanks as U+2581.
 a piece is worked off in the order of the piece's score, leftmost first at equal scores; what is left that isn't a piece becomes byte
 pieces. No piece of a vocabulary of this kind holds U+2581 behind another character (checked on loading), so no merge crosses
 the front of a run of blanks, and a text can be encoded in chunks that start there. Chunks repeat, so each distinct chunk is
-encoded once for each Python worker (a cache holds CACHE of them; the older half goes when it is full): short ones together, one merge of each chunk a round over NumPy arrays; long ones by
-a heap.
+encoded once for each Python worker, while a cache holds it: short ones together, one merge of each chunk a round over NumPy arrays; long ones by
+a heap. The cache has two halves; what is used moves to the newer one, and the older goes when that is full, by chunks (CACHE) or by their
+characters (CHARS), so that a worker, which lives on between stages, keeps some tens of MB whatever the texts.
 
 Each new chunk is also encoded and decoded by the sentencepiece library, an Arrow batch's chunks at a time; where the two differ,
 the library's answer is taken (the codec counts such chunks in repaired). Vocabularies that this doesn't cover (not BPE, a normaliser that changes
@@ -20,9 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ from lodestar.llm.common import texts, tuned
 
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
-CACHE = 300_000
+CACHE = 160_000
+#: Characters of the chunks and ids of a half of the cache: chunks of texts without blanks are long.
+CHARS = 4_000_000
 #: Chunks of more symbols go through the heap.
 SHORT = 48
 #: Chunks that are learnt together.
@@ -79,8 +81,10 @@ class Codec:
         self.digits = [str(i) for i in range(size)]
         self.of_char = np.full(0x110000, -1, np.int64)
         self.of_char[ord(BLANK)] = self._symbol(BLANK)
-        #: (ids joined by commas, decoded text) by chunk without the blank in front
-        self.cache: dict[str, tuple[str, str]] = {}
+        #: ids joined by commas, by chunk without the blank in front; with the decoded text, where that isn't a blank and the chunk
+        self.cache: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
+        self.held = 0
         self.repaired = 0
 
     def _symbol(self, text: str) -> int:
@@ -194,9 +198,6 @@ class Codec:
 
     def learn(self, keys: list[str]) -> None:
         """Encodes new chunks, each given without the blank in front, and checks them against the library."""
-        if len(self.cache) + len(keys) > CACHE:
-            for old in list(itertools.islice(self.cache, len(self.cache) // 2)):
-                del self.cache[old]
         short = [x for x in keys if len(x) < SHORT]
         long = [x for x in keys if len(x) >= SHORT]
         found = [self.finish(x) for x in self.lockstep([BLANK + x for x in short])] if short else []
@@ -208,7 +209,26 @@ class Codec:
             if key and (ids != ref or mine[1:] != text):  # the library encodes a lone blank in front as nothing
                 self.repaired += 1
                 ids, mine = ref, " " + text
-            self.cache[key] = (",".join([self.digits[i] for i in ids]), mine)
+            joined = ",".join([self.digits[i] for i in ids])
+            self.cache[key] = joined if mine[:1] == " " and mine[1:] == key else (joined, mine)
+            self.held += len(key) + len(joined)
+
+    def turn(self) -> None:
+        """Where the newer half of the cache is full, it becomes the older one."""
+        if len(self.cache) >= CACHE // 2 or self.held >= CHARS:
+            self.older, self.cache, self.held = self.cache, {}, 0
+
+    def hold(self, chunks: Iterable[str]) -> None:
+        """Chunks that aren't in the newer half of the cache come from the older one, or are learnt."""
+        new = []
+        for x in chunks:
+            if (got := self.older.get(x)) is None:
+                new.append(x)
+            else:
+                self.cache[x] = got
+                self.held += len(x) + len(got if isinstance(got, str) else got[0])
+        if new:
+            self.learn(new)
 
     def split(self, text: str) -> list[str]:
         """Chunks, each without the blank in front."""
@@ -224,20 +244,24 @@ class Codec:
             ids = self.library.encode(rows, num_threads=1)
             return list(zip((",".join(map(str, x)) for x in ids), self.library.decode(ids, num_threads=1), strict=True))
         out, split = [], [self.split(row) for row in rows]
-        new = list(dict.fromkeys(x for row in split for x in row if x not in self.cache))
-        if 0 < len(new) <= AT_ONCE:
-            self.learn(new)
+        self.turn()
+        new = dict.fromkeys(x for row in split for x in row if x not in self.cache)
+        if len(new) <= AT_ONCE:
+            self.hold(new)
         for chunks in split:
             got = [self.cache.get(x) for x in chunks]
             if None in got:  # many new chunks, or some that had to go: a part at a time, so that the cache stays bounded
                 got = []
                 for at in range(0, len(chunks), AT_ONCE):
                     part = chunks[at : at + AT_ONCE]
-                    known = {x: self.cache[x] for x in part if x in self.cache}
-                    if new := [x for x in dict.fromkeys(part) if x not in known]:
-                        self.learn(new)
-                    got += [known.get(x) or self.cache[x] for x in part]
-            out.append((",".join([x[0] for x in got]), "".join([x[1] for x in got])[1:]))
+                    self.turn()
+                    self.hold(dict.fromkeys(x for x in part if x not in self.cache))
+                    got += [self.cache[x] for x in part]
+            if tuple in set(map(type, got)):
+                whole = [(x, " " + key) if isinstance(x, str) else x for key, x in zip(chunks, got, strict=True)]
+                out.append((",".join([x[0] for x in whole]), "".join([x[1] for x in whole])[1:]))
+            else:
+                out.append((",".join(got), " ".join(chunks)))
         return out
 
 

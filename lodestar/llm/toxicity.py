@@ -14,6 +14,8 @@ doc_id are taken. Texts of any length are read whole, their features in one arra
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +67,19 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], epochs: int, alpha: float, beta
     return model.weights()[:, 0]
 
 
+def once(found: list[tuple[int, np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """Features and label of the sample's rows (o, features, label), by o and features; of equal features the first. No features are copied
+    but those of rows of one o."""
+    rows, seen = [], set()
+    for _, same in itertools.groupby(sorted(found, key=lambda x: x[0]), key=lambda x: x[0]):
+        same = list(same)
+        for _, at, y in sorted(same, key=lambda x: x[1].tobytes()) if len(same) > 1 else same:
+            if (key := hashlib.blake2b(np.ascontiguousarray(at), digest_size=16).digest()) not in seen:
+                seen.add(key)
+                rows.append((at, y))
+    return rows
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, epochs: int = 12, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights other than 0. The sample is the sample_rows / 2 labelled rows of each class whose hashed doc_id is least;
     texts that repeat count once."""
@@ -84,13 +99,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, epochs
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 100), batch.column(1).slice(k, 100), pa.array(at, pa.list_(pa.int32()))], names=["o", "y", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, found = set(), []
+        found = []
         for batch in batches:
             for i, (o, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 found.append((o, batch.column(2)[i].values.to_numpy(zero_copy_only=False), int(y > 0)))
-        found.sort(key=lambda x: (x[0], x[1].tobytes()))
-        rows = [(at, y) for _, at, y in found if not ((key := at.tobytes()) in seen or seen.add(key))]
-        w = fit_rows(rows, epochs, alpha, beta, l1, l2)
+        w = fit_rows(once(found), epochs, alpha, beta, l1, l2)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w[at].tolist()], pa.list_(pa.float64()))], names=["at", "w"])
 

@@ -8,6 +8,7 @@ import io
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -201,6 +202,24 @@ def test_temperature_lowers_the_loss():
     assert t > 1 and loss(logits / t) < loss(logits)
 
 
+def test_rows_to_learn_from_are_not_copied():
+    rng = np.random.default_rng(2)
+    found = [(i // 2 if i < 20 else i, rng.integers(0, 99, 50_000).astype(np.int32), i % 2) for i in range(200)]
+    found += [(500, found[7][1].copy(), 0), (3, found[150][1].copy(), 1)]
+    seen, want = set(), []
+    for _, at, y in sorted(found, key=lambda x: (x[0], x[1].tobytes())):
+        if at.tobytes() not in seen:
+            seen.add(at.tobytes())
+            want.append((at, y))
+    del seen
+    tracemalloc.start()
+    got = toxicity.once(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [y for _, y in got] == [y for _, y in want] and all(a is b for (a, _), (b, _) in zip(got, want, strict=True))
+    assert peak < 2_000_000  # of 40 MB
+
+
 # --- tokens ---
 
 
@@ -236,6 +255,31 @@ def test_cache_stays_bounded(codec, monkeypatch):
     assert codec.encode_batch([text])[0][0] == ",".join(map(str, ids)) and len(codec.cache) <= 70
 
 
+def test_cache_is_bounded_by_characters_too(codec, monkeypatch):
+    """Chunks of texts without blanks are long: their number says nothing of the memory that they take."""
+    monkeypatch.setattr(sp, "CHARS", 20_000, raising=False)
+    codec.cache.clear()
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("theringandouß日x") for _ in range(5000)) for _ in range(20)]
+    for row in rows + rows:
+        ids = codec.library.encode(row)
+        assert codec.encode_batch([row]) == [(",".join(map(str, ids)), codec.library.decode(ids))]
+    assert sum(map(len, codec.cache)) < 40_000 and sum(map(len, codec.older)) < 40_000
+
+
+def test_frequent_chunks_stay_in_the_cache(codec, monkeypatch):
+    """What every text holds is learnt once, however many other chunks pass through; results are those of the library."""
+    monkeypatch.setattr(sp, "CACHE", 100)
+    codec.cache.clear()
+    learnt = []
+    monkeypatch.setattr(codec, "learn", lambda keys, f=codec.learn: learnt.extend(keys) or f(keys))
+    rows = ["often seen  two blanks \x00 " + " ".join(f"rare{10 * i + k}" for k in range(10)) + (" " if i % 2 else "") for i in range(60)]
+    for row in rows:
+        ids = codec.library.encode(row)
+        assert codec.encode_batch([row]) == [(",".join(map(str, ids)), codec.library.decode(ids))]
+    assert learnt.count("often") <= 1 and learnt.count("rare599") == 1
+
+
 def test_token_rows(spark, edges, empty, codec):
     import public_tokenizers
 
