@@ -38,7 +38,7 @@ def text_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def occurrence(
-    source_url: Column, final_url: Column, source_type: str, method: str, c: Column, context: Column, *, title: Column | None = None, heading1: Column | None = None, heading: Column | None = None,
+    source_url: Column, final_url: Column, source_type: str | Column, method: str | Column, c: Column, context: Column, *, title: Column | None = None, heading1: Column | None = None, heading: Column | None = None,
     container: Column | None = None, page_number: Column | None = None, filename: Column | None = None, referrer: Column | None = None, at: Column | None = None, http_status: Column | None = None, seq: Column | None = None,
 ) -> list[Column]:
     """The columns of an occurrence; its id is a digest of where it stands."""
@@ -135,6 +135,12 @@ def _read(url: str, html: str) -> tuple:
         return (url, None, None, [], None, "", "", "", "", [], [], [], [], f"{type(e).__name__}: {e}"[:500])
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """pages over as many tasks as a shuffle has: a file of one row group, of which a task reads all, may hold very many, and a page costs far more
+    to read than to send."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(url, html) to fields and numbers of each page, by its tree."""
 
@@ -143,7 +149,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([_read(u, h or "") for u, h in zip(batch["url"], batch["html"], strict=True)], columns=names)
 
-    return pages.select("url", "html").mapInPandas(run, EXTRACTED)
+    return dealt(pages.select("url", "html")).mapInPandas(run, EXTRACTED)
 
 
 def html_occurrences(pages: DataFrame, rendered: bool = False) -> DataFrame:
@@ -151,18 +157,17 @@ def html_occurrences(pages: DataFrame, rendered: bool = False) -> DataFrame:
     and method once, the first in the order of links, markup and text."""
     got = extract_pages(pages).withColumn("n", F.explode("numbers")).drop("numbers")
     meta = pages.select(F.col("url").alias("u"), "final_url", "http_status", "referring_url", "at", "depth").dropDuplicates(["u"])
-    rows = got.join(meta, F.col("url") == F.col("u"))
-    n, parts = F.col("n"), None
-    for branch, (kind, method) in enumerate((("HTML_TEL_LINK", "TEL_LINK"), ("HTML_SCHEMA", "SCHEMA"), ("HTML", "TEXT"))):
-        cols = occurrence(
-            F.col("url"), F.col("final_url"), kind, method, n, n["context"], title=F.col("title"), heading1=F.col("h1"), heading=n["heading"], container=n["container"],
-            referrer=F.col("referring_url"), at=F.col("at"), http_status=F.col("http_status"), seq=n["pos"],
-        )
-        part = rows.where(n["branch"] == branch).select(*cols, F.struct(F.col("depth").alias("a"), F.col("url").alias("u"), n["branch"].alias("b"), n["pos"].alias("c")).alias("seq"))
-        parts = part if parts is None else parts.unionByName(part)
+    rows = got.join(meta.hint("merge"), F.col("url") == F.col("u"))  # a row for each page, so never broadcast
+    n = F.col("n")
+    by_branch = lambda link, markup, text: F.when(n["branch"] == 0, link).when(n["branch"] == 1, markup).otherwise(text)
+    cols = occurrence(
+        F.col("url"), F.col("final_url"), by_branch("HTML_TEL_LINK", "HTML_SCHEMA", "HTML"), by_branch("TEL_LINK", "SCHEMA", "TEXT"), n, n["context"], title=F.col("title"), heading1=F.col("h1"), heading=n["heading"],
+        container=n["container"], referrer=F.col("referring_url"), at=F.col("at"), http_status=F.col("http_status"), seq=n["pos"],
+    )
+    found = rows.select(*cols, F.struct(F.col("depth").alias("a"), F.col("url").alias("u"), n["branch"].alias("b"), n["pos"].alias("c")).alias("seq"))
     number = F.coalesce(F.col("e164_phone"), F.col("normalized_phone"), F.col("raw_phone"))
     once = Window.partitionBy("source_url", number, F.coalesce("extension", F.lit("")), "extraction_method").orderBy("seq")
-    return parts.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
+    return found.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
 
 
 def reconcile(static: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -264,6 +264,15 @@ def test_occurrences_of_a_page(spark):
     assert [(r["link"], r["kind"]) for r in links] == [("https://x.edu/files/floor-plan.pdf", "PDF")]
 
 
+def test_pages_of_one_file_are_read_once_and_by_many_tasks(spark):
+    df = spark.range(400).select(F.concat(F.lit("https://x.edu/"), "id").alias("url"), F.lit(SAMPLE).alias("html")).coalesce(1)
+    assert operators.extract_pages(df).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    none = F.lit(None)
+    pages = df.select("url", F.col("url").alias("final_url"), F.lit(200).alias("http_status"), none.cast("string").alias("referring_url"), none.cast("timestamp").alias("at"), "html", F.lit(0).alias("depth"))
+    plan = html_occurrences(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Broadcast" not in plan
+
+
 def test_rows_that_skip_python_have_no_candidates(spark):
     """Wide gaps, digits that aren't ASCII, and white space that Java doesn't know."""
     gaps = ["", "-", ".", " " * 5, "\t" * 9, "\n\n", "\x1c", "\xa0\u3000", " - . - "]
