@@ -17,7 +17,8 @@ in order from rare to common, any two that share C meet in the lists of their fi
   holds for any pivot.
 - Lists of this index that are too long in turn get pivots of their own from among their members, and so on. A list holds fewer classes than
   the group that it comes from, which has its pivot besides, and where lists are joined, the pivot comes before all members in
-  rank, so this ends; each of two clusters that look alike gets its pivot.
+  rank, so this ends; each of two clusters that look alike gets its pivot. Before that they are cut by the sizes of differences (in_cells),
+  as differences that share a common element at the end of their prefixes are mostly too large, or too far apart in size, for each other.
 
 Union sketches (the K least values of both sketches) drop pairs of fewer than C values in both. What is left is verified on full sets.
 Links make components, by stars, in tables.
@@ -437,6 +438,41 @@ def difference_lists(index: DataFrame) -> DataFrame:
     return lists.select(*LIST_ID, "p", "prank", long.alias("long"))
 
 
+#: The greatest place in a cell is so many times the least, whatever the sizes, so an entry reaches some tens of cells at most.
+CELL = 1.125
+#: The use of a cell's list of role 0, by which its members meet those of lower cells.
+LOWER = 3
+
+
+def in_cells(entries: DataFrame, similarity: int) -> DataFrame:
+    """Entries of long lists (with LIST_ID, role, x, rank, n, size, bits, at), whose lists are cut by the sizes of differences.
+
+    Two differences of d elements, at an entry in front of which lie a of them, can belong to similar sets only if d - t n of each (its
+    place) is no more than d + t n - 2 a of the other (its reach): that is what difference_pairs() asks, and what keeps members that share
+    a common element at the end of their prefixes from meeting all others. So places are cut into cells. In a list of two roles, those of
+    role 1 are in the cell of their place, and those of role 2 in all that they reach. In one of role 0 all meet in their own cells, and
+    those of each cell meet those of lower ones that reach it. Each pair that can be similar is in one cell's list."""
+    c, t = F.col, (100 - similarity) / (100 + similarity)
+    entries = entries.select(*LIST_ID, "role", "x", "rank", "n", "size", "bits", "at").withColumn("place", c("size") - t * c("n")).withColumn("reach", c("size") + t * c("n") - 2 * c("at") + 1e-5)
+    of = lambda f, k: f(F.when(c("role") == k, c("place")))
+    spans = entries.groupBy(*LIST_ID).agg(
+        F.coalesce(of(F.min, 0), of(F.min, 1)).alias("low"), F.coalesce(of(F.max, 0), of(F.max, 1)).alias("high"),
+        F.coalesce(of(F.min, 0), of(F.min, 2)).alias("others"),
+    )
+    rows = entries.join(spans, LIST_ID)
+    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1e-3))) / math.log(CELL))  # noqa: E731  places of role 0 and 1 are positive
+    own, last = cell(c("place")), cell(F.least("reach", "high"))
+    # a partner's reach is at most its place and 2 t times its size, and its size at most that of x by the similarity
+    back = F.greatest(c("low"), c("place") - 2 * t * c("n") * (100 / similarity) - 1e-5)
+    steps = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    to = lambda role, use, cells: F.transform(cells, lambda q: F.struct(use.alias("to_use"), F.lit(role).alias("to_role"), q.alias("cell")))
+    use, lower = c("use"), F.lit(LOWER)
+    home = F.when(c("reach") >= c("others"), F.array(own)).otherwise(F.array().cast("array<bigint>"))
+    places = F.when(c("role") == 0, F.concat(to(0, use, home), to(1, lower, home), to(2, lower, steps(own + 1, last)))).when(c("role") == 1, to(1, use, home)).otherwise(to(2, use, steps(cell(back), last)))
+    rows = rows.withColumn("e", F.explode(places))
+    return rows.select("g", F.xxhash64("key", "e.cell").alias("key"), c("e.to_use").alias("use"), c("e.to_role").alias("role"), "x", "rank", "n", "size", "bits", "at", "e.cell")
+
+
 def difference_pairs(short: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) of short lists, given as entries, whose differences can share as much as they have to.
 
@@ -466,13 +502,18 @@ def by_pivots(stars: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataF
         lists = stored(difference_lists(index), "difference-lists")
         listed = stored(index.join(lists, LIST_ID), "listed")
         drop_stored(index, lists)
-        met = stored(difference_pairs(listed.where("not long"), similarity), "met")
+        cells = stored(in_cells(listed.where("long"), similarity), "cells")
+        lists = stored(difference_lists(cells), "cell-lists")
+        cut = stored(cells.join(lists, LIST_ID), "listed")
+        drop_stored(cells, lists)
+        entries = [*LIST_ID, "role", "x", "n", "size", "bits", "at"]
+        met = stored(difference_pairs(listed.where("not long").select(entries).unionByName(cut.where("not long").select(entries)), similarity), "met")
         links, pairs = (linked, met) if links is None else (links.unionByName(linked), pairs.unionByName(met))
-        long = listed.where("long and x <> p")
+        long = cut.where("long and x <> p")
         whole = stored(long.where("role = 0").select("p", "prank", "x", "rank").distinct(), "long-lists")
-        sided = long.where("role <> 0").select(F.xxhash64("g", "p", "use").alias("g"), "p", "x", F.col("role").alias("side"), "rank").distinct()
+        sided = long.where("role <> 0").select(F.xxhash64("g", "p", "use", "cell").alias("g"), "p", "x", F.col("role").alias("side"), "rank").distinct()
         stars = stored(gathered(whole).unionByName(sided), "stars")
-        drop_stored(listed)
+        drop_stored(listed, cut)
     return links, pairs
 
 

@@ -283,6 +283,23 @@ def changed(rng: random.Random, words: list[str], n: int) -> str:
     return " ".join(out)
 
 
+@pytest.mark.parametrize("roles", [(0,), (1, 2)])
+def test_cells_of_long_lists_lose_no_pair_and_hold_fewer(spark, roles):
+    """A list of members whose differences vary in size, by cells: the same pairs, of far fewer that meet."""
+    rng, rows = random.Random(len(roles)), []
+    for x in range(400):
+        size = rng.randrange(66, 260)
+        rows.append((1, 1, len(roles) - 1, rng.choice(roles), x, x, rng.randrange(360, 400), size, [0] * neardup.WORDS, rng.randrange(min(size // 2, 60))))
+    rows.append((1, 1, len(roles) - 1, roles[0], 400, 400, 20_000, 3_000, [0] * neardup.WORDS, 0))
+    entries = spark.createDataFrame(rows, "g long, key long, use int, role int, x long, rank long, n int, size int, bits array<long>, at int")
+    cells = neardup.in_cells(entries, 85).cache()
+    found = lambda df: sorted(tuple(r) for r in neardup.difference_pairs(df, 85).collect())
+    want = found(entries)
+    assert want and found(cells) == want
+    met = lambda df: sum(r["z"] * (r["z"] - 1) / 2 + r["a"] * r["b"] for r in df.groupBy(*neardup.LIST_ID).agg(*(F.count_if(F.col("role") == k).alias(c) for k, c in enumerate("zab"))).collect())
+    assert met(cells) * 2 < met(entries) and cells.count() < 12 * len(rows)
+
+
 def test_near_dedup_stage_takes_similarities_from_80(spark, sf_dir):
     import corpus_pipeline
 
